@@ -29,8 +29,8 @@ WINDOW = 10
 BITMAP_BITS = 20
 BROADCAST_WINDOWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, before lowering: A-Z belong to words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
