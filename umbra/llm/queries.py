@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from umbra.llm.op2_simhash import op2_simhash
 from umbra.llm.op3_license import OP3_SQL, op3_license
+from umbra.llm.op5_secrets import op5_secrets
+from umbra.llm.op6_quality import OP6_SQL, op6_quality
 from umbra.llm.op7_chat import OP7_SQL, op7_chat
 from umbra.llm.op8_decontaminate import OP8_SQL, op8_decontaminate
 from umbra.llm.op10_mix import OP10_SQL, op10_mix
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_license": op3_license,
+    "op5_secrets": op5_secrets,
+    "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op10_mix": op10_mix,
 }
 
-ORACLES = {"op3_license": OP3_SQL, "op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_mix": OP10_SQL}
+ORACLES = {"op3_license": OP3_SQL, "op6_quality": OP6_SQL, "op7_chat": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_mix": OP10_SQL}
