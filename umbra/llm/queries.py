@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from umbra.llm.op2_simhash import op2_simhash
 from umbra.llm.op3_license import OP3_SQL, op3_license
+from umbra.llm.op4_classifier import op4_classifier
 from umbra.llm.op5_secrets import op5_secrets
 from umbra.llm.op6_quality import OP6_SQL, op6_quality
 from umbra.llm.op7_chat import OP7_SQL, op7_chat
@@ -13,6 +14,7 @@ from umbra.llm.op10_mix import OP10_SQL, op10_mix
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_license": op3_license,
+    "op4_classifier": op4_classifier,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
