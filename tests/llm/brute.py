@@ -59,3 +59,30 @@ def base_secrets(text):
     joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in found)
     count = lambda kind: sum(k == kind for *_, k in found)
     return count("assign"), count("access"), count("hex"), hashlib.sha256(joined.encode()).hexdigest(), {f"{k}:{s}:{e}" for s, _, e, k in found}
+
+
+def bigram_scores(rows, mu, folds=10):
+    """[(doc_id, text)] -> [(doc_id, held_out, n_tokens, n_known, train_tokens, base, score)]."""
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    rows = [(d, [*BLANK.findall(lower(t)), None], d is not None and zlib.crc32(str(d).encode()) % folds == 0) for d, t in rows]
+    c, pairs = Counter(), Counter()
+    for _, w, held in rows:
+        if not held:
+            c.update(w)
+            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+    n, v, starts = sum(c.values()), len(c), sum(not held for *_, held in rows)
+    once, twice = (sum(k == x for w, k in c.items() if w is not None) for x in (1, 2))
+    d = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    p1 = lambda w: 0.5 if not n else (c[w] - d) / n if c[w] else d * v / n
+
+    def p2(a, w, first):
+        return (pairs[(a, w)] + mu * p1(w)) / ((starts if first else c[a]) + mu)
+
+    return [
+        (i, held, len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w),
+         sum(log10(p2("<s>" if k == 0 else w[k - 1], x, k == 0)) for k, x in enumerate(w)))
+        for i, w, held in rows
+    ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from umbra.llm.op1_lm import op1_lm
 from umbra.llm.op2_simhash import op2_simhash
 from umbra.llm.op3_license import OP3_SQL, op3_license
 from umbra.llm.op4_classifier import op4_classifier
@@ -12,6 +13,7 @@ from umbra.llm.op8_decontaminate import OP8_SQL, op8_decontaminate
 from umbra.llm.op10_mix import OP10_SQL, op10_mix
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_simhash": op2_simhash,
     "op3_license": op3_license,
     "op4_classifier": op4_classifier,

@@ -22,10 +22,10 @@ class Words(NamedTuple):
 
 def split_words(texts: pa.Array, lower_ascii: bool = False) -> Words:
     """Words of each text (null: none); with ``lower_ascii`` A-Z alone are lowered."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower_ascii:
+    texts = pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if lower_ascii:  # after trimming, which makes a new array: lowering a slice in place misreads its offsets
         texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+    lists = pc.ascii_split_whitespace(texts)
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten()
