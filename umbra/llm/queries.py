@@ -10,6 +10,7 @@ from umbra.llm.op5_secrets import op5_secrets
 from umbra.llm.op6_quality import OP6_SQL, op6_quality
 from umbra.llm.op7_chat import OP7_SQL, op7_chat
 from umbra.llm.op8_decontaminate import OP8_SQL, op8_decontaminate
+from umbra.llm.op9_html import op9_html
 from umbra.llm.op10_mix import OP10_SQL, op10_mix
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
+    "op9_html": op9_html,
     "op10_mix": op10_mix,
 }
 
