@@ -49,19 +49,37 @@ from umbra.llm.tokens import slices, split_words
 FOLDS = 10
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 2_000_000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 #: Weight of the unigram prior in each context, in tokens.
 MU = 200.0
 BEGIN, END, FIRST = 0, 1, 2  #: ids: before the text, its end, and the first word's
 ADD = 0.1
 
 
-def pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def pack(**arrays: np.ndarray) -> bytes:
+    """Compressed arrays; wide items are stored byte plane by byte plane, whose high planes are nearly constant."""
+    planes = {k: (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T) if a.itemsize > 1 else a) for k, a in ((k, np.ascontiguousarray(a)) for k, a in arrays.items())}
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(planes, protocol=5))
 
 
-def unpack(data: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    return {k: np.ascontiguousarray(a.T).reshape(-1).view(d) if a.ndim == 2 else a for k, (d, a) in planes.items()}
+
+
+def gaps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Steps between values that rise within runs; the first of a run is kept."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    out[starts] = values[starts]
+    return narrow(out)
+
+
+def ungaps(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps, dtype=np.int64)
+    starts = np.cumsum(runs) - runs
+    before = np.where(starts > 0, total[starts - 1], 0)
+    return total - np.repeat(before, runs)
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -88,7 +106,7 @@ def to_blocks(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
                 words = split_words(batch.column("text"), lower_ascii=True)
                 names = [w.encode() for w in words.vocabulary.to_pylist()]
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-                order = np.argsort(hashes, kind="stable")
+                order = np.lexsort((hashes, -np.bincount(words.codes, minlength=len(names))))  # frequent words get small codes
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 codes = place[words.codes] if len(order) else words.codes.astype(np.int64)
@@ -227,9 +245,11 @@ def questions(blocks: DataFrame, answers: DataFrame, totals: dict, n_word_shards
             c = context_[k]
             head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             at = by[k]
+            table_, one = np.unique(word_[k], return_index=True)
+            top = np.zeros(1, np.int64)
             body = pack(
-                contexts=narrow(c[head]), seen=narrow(seen[at][head]), runs=narrow(np.diff(np.append(head, b - a))), words=narrow(word_[k]),
-                counts=narrow(count[at]), trained=narrow(trained[a:b]), times=narrow(np.diff(cuts[a:b + 1])), touched=narrow(touched), docs=narrow(doc_at),
+                contexts=gaps(c[head], top), seen=narrow(seen[at][head]), runs=narrow(np.diff(np.append(head, b - a))), words=gaps(word_[k], head),
+                table=gaps(table_, top), counts=narrow(count[at[one]]), trained=narrow(trained[a:b]), times=narrow(np.diff(cuts[a:b + 1])), touched=gaps(touched, top), docs=narrow(doc_at),
             )
             rows.append((int(to_[first]), block, 1, body))
         return pa.Table.from_batches([_batch("shard block kind body", rows, _QUESTION)])
@@ -252,32 +272,39 @@ def answered(asked: DataFrame, totals: dict, mu: float = MU) -> DataFrame:
         asks = [(b, unpack(body)) for k, b, body in zip(kinds, blocks, bodies, strict=True) if k == 1]
         del bodies, group
         if asks:
-            join = lambda name: np.concatenate([a[name].astype(np.int64) for _, a in asks])
-            runs = join("runs")
-            context, seen = np.repeat(join("contexts"), runs), np.repeat(join("seen"), runs)
-            word, prior = join("words"), unigram(join("counts"), totals)
-            level = trie(context, word, join("trained"), seen, prior, mu)
-            found, log_p, weight = level.lookup(context, word)
-            log_p = np.where(found, log_p, weight + np.log10(prior))
-            at = 0
-            for block, a in asks:
-                each = np.repeat(log_p[at:at + len(a["words"])], a["times"])
-                at += len(a["words"])
+            pairs = [_pairs(a, totals) for _, a in asks]
+            context, word, trained, seen, prior = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            level = trie(context, word, trained, seen, prior, mu)
+            del context, word, trained, seen, prior
+            for (block, a), (context, word, _, _, prior) in zip(asks, pairs, strict=True):
+                found, log_p, weight = level.lookup(context, word)
+                each = np.repeat(np.where(found, log_p, weight + np.log10(prior)), a["times"])
                 rows.append((shard, block, 1, pack(touched=a["touched"], sums=np.bincount(a["docs"], each, len(a["touched"])))))
         return pa.Table.from_batches([_batch("shard block kind body", rows, _QUESTION)])
 
     return asked.groupBy("shard").applyInArrow(solve, QUESTION)
 
 
+def _pairs(a: dict[str, np.ndarray], totals: dict) -> tuple[np.ndarray, ...]:
+    """(context, word, training count, count of the context, unigram probability) of a block's pairs."""
+    runs = a["runs"].astype(np.int64)
+    words = ungaps(a["words"], runs)
+    count = a["counts"][np.searchsorted(np.cumsum(a["table"], dtype=np.int64), words)]
+    fits = np.uint32 if len(words) and words.max() < 1 << 32 else np.int64
+    context = np.cumsum(a["contexts"], dtype=np.int64)
+    context = context.astype(np.uint32) if len(context) and context.max() < 1 << 32 else context
+    return np.repeat(context, runs), words.astype(fits), a["trained"].astype(np.int32), np.repeat(a["seen"], runs), unigram(count.astype(float), totals).astype(np.float32)
+
+
 def trie(context: np.ndarray, word: np.ndarray, trained: np.ndarray, seen: np.ndarray, prior: np.ndarray, mu: float) -> TrieLevel:
     """The trie of the pairs with training counts; ``prior`` is the unigram probability of the word."""
     live = np.flatnonzero(trained > 0)
     live = live[np.lexsort((word[live], context[live]))]
     c, w = context[live], word[live]
     first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])) if len(live) else live
-    count = np.add.reduceat(trained[live], first) if len(first) else trained[:0]
+    count = np.add.reduceat(trained[live], first, dtype=np.int64) if len(first) else trained[:0]
     at = live[first]
-    log_p = np.log10((count + mu * prior[at]) / (seen[at] + mu))
+    log_p = np.log10((count + mu * prior[at].astype(float)) / (seen[at] + mu))
     contexts = np.flatnonzero(np.concatenate([[True], c[first][1:] != c[first][:-1]])) if len(first) else first
     return TrieLevel.build(c[first].astype(np.uint64), w[first], log_p, np.log10(mu / (seen[at][contexts] + mu)))
 
@@ -295,7 +322,7 @@ def results(partial: DataFrame, totals: dict) -> DataFrame:
         score = np.zeros(len(own["ids"]))
         for _, _, body in rows[1:]:
             got = unpack(body)
-            score[got["touched"]] += got["sums"]
+            score[np.cumsum(got["touched"], dtype=np.int64)] += got["sums"]
         return pa.Table.from_arrays([
             pa.array(own["ids"], pa.int64(), mask=own["null"]), pa.array(own["held"]), pa.array(own["n_tokens"].astype(np.int64)), pa.array(own["n_known"].astype(np.int64)),
             pa.array(np.full(len(score), totals["tokens"])), pa.array(own["base"]), pa.array(score)], names=[c.split()[0] for c in RESULT.split(", ")])
