@@ -86,3 +86,7 @@ def bigram_scores(rows, mu, folds=10):
          sum(log10(p2("<s>" if k == 0 else w[k - 1], x, k == 0)) for k, x in enumerate(w)))
         for i, w, held in rows
     ]
+
+
+def lowered_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))

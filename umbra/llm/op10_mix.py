@@ -26,7 +26,7 @@ MAX_EPOCHS = 3
 BUCKET_DIGITS = 3
 
 
-def sized(docs: DataFrame, bucket_digits: int = BUCKET_DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sized(docs: DataFrame, bucket_digits: int = BUCKET_DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -34,6 +34,7 @@ def sized(docs: DataFrame, bucket_digits: int = BUCKET_DIGITS, id_col: str = "do
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         key.alias("key"),
+        *(keep or []),
     ).withColumn("bucket", F.substring("key", 1, bucket_digits))
 
 
@@ -69,9 +70,9 @@ def targets(buckets: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     )
 
 
-def mix_budgets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_digits: int = BUCKET_DIGITS) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and no_source, src, key) for every row."""
-    rows = cut(sized(docs, bucket_digits), "mix")
+def mix_budgets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_digits: int = BUCKET_DIGITS, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and no_source, src, key, the columns ``keep``) for every row."""
+    rows = cut(sized(docs, bucket_digits, keep=keep), "mix")
     buckets = rows.groupBy("no_source", "src", "bucket").agg(F.sum("size").alias("size"))
     before = W.partitionBy("no_source", "src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -60,14 +60,13 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, carry: list[str], k: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """The columns ``carry`` with ``fp``, the fingerprint as a signed long."""
-    rows = docs.select(*carry, F.col(text_col).alias("_text"))
-    keep = [c for c in carry if c != "_text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(x.as_py(), k) for x in batch.column("_text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*keep, "fp"])
+            prints = np.fromiter((fingerprint(x.as_py(), k) for x in batch.column(text_col)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(carry)], pa.array(prints.view(np.int64))], names=[*carry, "fp"])
 
     return rows.mapInArrow(run, f"{fields}, fp long")
 
@@ -226,11 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """One document of each component (the least id; of equal ids one row), all columns."""
     fields = docs.columns
-    marked = cut(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), [*fields, "_row"], k), "marked")
-    slim = marked.select("doc_id", "fp", "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = slim.join(_classes(slim), "fp").groupBy("root").agg(first.alias("x")).select("x._row")
-    return marked.join(kept, "_row", "left_semi").select(*fields)
+    row, doc = "_umbra_row", F.struct(*[F.col(c) for c in fields]).alias("doc")
+    nested = docs.select(doc, F.col("text").alias("_umbra_text"), F.monotonically_increasing_id().alias(row))
+    marked = cut(fingerprints(nested, ["doc", row], k, "_umbra_text"), "marked")
+    slim = marked.select(F.col("doc.doc_id").alias("doc_id"), "fp", row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    kept = slim.join(_classes(slim), "fp").groupBy("root").agg(first.alias("x")).select(f"x.{row}")
+    return marked.join(kept, row, "left_semi").select("doc.*")
 
 
 def _classes(prints: DataFrame) -> DataFrame:

@@ -162,6 +162,18 @@ def quality(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFr
     return rows.mapInArrow(run, f"{fields}, {RULES}")
 
 
+def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text the rules keep, unchanged."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array(measure(batch.column(text_col))["kept"]))
+
+    return docs.mapInArrow(run, fields)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), ["doc_id"]).drop("longest_repeat")
 

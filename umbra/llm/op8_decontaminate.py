@@ -130,8 +130,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> D
     documents meet that (small) set in an anti join.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    bad = verified_hits(docs.withColumn("digest", digest), benchmark, ["digest"], n).where("n_hit > 0").select("digest").distinct()
-    return docs.withColumn("digest", digest).join(bad, "digest", "left_anti").select(*docs.columns)
+    bad = verified_hits(docs.select("text", digest.alias("digest")), benchmark, ["digest"], n).where("n_hit > 0").select("digest").distinct()
+    marked = docs.withColumn("_umbra_digest", digest)
+    return marked.join(bad, marked["_umbra_digest"] == bad["digest"], "left_anti").drop("_umbra_digest")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
