@@ -30,7 +30,7 @@ def canonical(text: Column) -> Column:
     """Canonical text with its line structure: every word is followed and preceded by a space."""
     c = F.lower(F.coalesce(text, F.lit("")))
     c = F.regexp_replace(c, COPYRIGHT_LINE, "")
-    c = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(c, FOLDED, " "), "\n", " \n "), F.lit(" "))
+    c = F.concat(F.lit(" "), F.replace(F.regexp_replace(c, FOLDED, " "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in EQUIVALENT:
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
     return c
@@ -51,8 +51,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, text_sha256, license_id (entire text, or null), n_notices, notices."""
     known = known_digests(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical(F.col(text_col)).alias("c"))
-    short = F.filter(F.split("c", "\n"), lambda line: F.length(F.trim(line)) > 0)
-    units = base.select("doc_id", "row", digest(F.col("c")).alias("text_sha256"), F.explode_outer(short).alias("line")).withColumn("line_sha256", digest(F.col("line")))
+    # Inside a canonical line single spaces stand between words, so trimming completes it; an empty line is no notice.
+    units = base.select("doc_id", "row", digest(F.col("c")).alias("text_sha256"), F.split("c", "\n").alias("lines"))
+    units = units.select("doc_id", "row", "text_sha256", F.explode("lines").alias("line")).withColumn("line_sha256", F.sha2(F.trim("line"), 256))
     lines = F.broadcast(known.select(F.col("digest").alias("line_sha256"), F.col("license_id").alias("notice")))
     whole = F.broadcast(known.select(F.col("digest").alias("text_sha256"), "license_id"))
     return (
