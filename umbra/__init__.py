@@ -1 +1 @@
-"""Part of the umbra engine."""
+"""umbra: urban shade analytics as Spark DataFrames."""

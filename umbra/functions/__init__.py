@@ -1 +1 @@
-"""Part of the umbra engine."""
+"""Scalar building blocks, as Columns wherever built-in functions suffice."""

@@ -1 +1 @@
-"""Part of the umbra engine."""
+"""Operators: pure functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-"""Part of the umbra engine."""
+"""Stream-shaped parts: progress feeds, rate limits, and live verdicts."""
