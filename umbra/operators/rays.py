@@ -65,5 +65,5 @@ class RayCells:
     """SQL: SELECT * FROM ray_cells(azimuth, reach, res)."""
 
     def eval(self, azimuth: float, reach: float, res: float):
-        for k, cell in enumerate(ray_cells(azimuth, reach, res)):
+        for k, cell in enumerate(ray_cells(float(azimuth), float(reach), float(res))):
             yield (k, *cell)

@@ -53,7 +53,7 @@ def state_code(rows: DataFrame) -> DataFrame:
     holds = F.coalesce(el < F.col("horizon_felled"), shaded & (kind != VEGETATION))
     crown = F.coalesce(F.col("canopy"), F.lit(False))
     code = (
-        F.when(~F.coalesce(F.col("covered"), F.lit(True)), OUTSIDE)
+        F.when(~(F.coalesce("covered", F.lit(True)) if "covered" in rows.columns else F.lit(True)), OUTSIDE)
         .when(crown & holds, SHADE_BOTH).when(crown, SHADE_VEGETATION)
         .when(~shaded, SUN).when(~holds, SHADE_VEGETATION)
         .when(kind == VEGETATION, SHADE_BOTH).when(kind == BUILDING, SHADE_BUILDING).otherwise(SHADE_OTHER)

@@ -367,7 +367,7 @@ def zones_nearby_topk(spark, sf) -> DataFrame:
     return ranked.where("rank <= 5").select("supplier", "rank", "customer", r6("distance"))
 
 
-@query(with_sql("SELECT edge, u, v, round(len, 3) AS len FROM edges", "edges"))
+@query(with_sql("SELECT edge, u, v, round(len::FLOAT::DOUBLE, 3) AS len FROM edges", "edges"))
 def graph_extract(spark, sf) -> DataFrame:
     _, e = network.extract(d.nodes(spark, sf), d.ways(spark, sf))
     return e.select("edge", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), F.round(F.col("len").cast("double"), 3).alias("len"))

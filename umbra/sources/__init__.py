@@ -1 +1 @@
-"""Part of the umbra engine."""
+"""Readers and writers of the engine's inputs and outputs."""
