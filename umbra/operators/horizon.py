@@ -7,27 +7,32 @@ vectorised numpy in one task.  Results do not depend on the tile size.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.angles import MAX_ANGLE, NO_BLOCKER, TOP, VEGETATION, slope_angle
-from umbra.operators.rays import offset_rows, offsets, ray_cells
+from umbra.operators.rays import OFFSETS, offset_rows, ray_cells
 
 EYE = 1.6
 
 
-def along_rays(cells: DataFrame, rays: DataFrame, columns: list[str]) -> DataFrame:
+def along_rays(cells: DataFrame, rays: list[tuple], fields: str, columns: list[str]) -> DataFrame:
     """Each observer cell with the cells its rays cross: an equi-join on shifted keys.
 
-    ``rays`` is the offsets table, whose size depends on the reach alone.
+    ``rays`` holds rows of ``fields``; it is a constant of the plan (its size depends on the
+    reach alone), exploded beside every observer.
     """
+    names = [f.split()[0] for f in fields.split(", ")]
+    kind = "array<struct<" + ",".join(f.replace(" ", ":") for f in fields.split(", ")) + ">>"
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rays])), kind)
     observers = cells.select("row", "col", (F.col("dtm") + F.lit(EYE)).cast("double").alias("eye"))
     targets = cells.select(F.col("row").alias("t_row"), F.col("col").alias("t_col"), *columns)
-    spread = observers.join(F.broadcast(rays))
+    spread = observers.select("*", F.explode(table).alias("ray")).select("row", "col", "eye", "ray.*")
     spread = spread.withColumn("t_row", F.col("row") + F.col("d_row")).withColumn("t_col", F.col("col") + F.col("d_col"))
     return spread.join(targets, ["t_row", "t_col"])
 
@@ -35,8 +40,7 @@ def along_rays(cells: DataFrame, rays: DataFrame, columns: list[str]) -> DataFra
 def relational(cells: DataFrame, sectors: int, reach: float, res: float, digits: int | None = None) -> DataFrame:
     """row, col, sector, slope, blocker, slope_felled: of equal slopes the nearest names the blocker."""
     surface = F.when(F.col("landcover") == VEGETATION, F.col("dtm")).otherwise(F.col("dsm"))
-    rays = offsets(cells.sparkSession, sectors, reach, res, digits)
-    seen = along_rays(cells.withColumn("felled", surface), rays, ["dsm", "felled", "landcover"])
+    seen = along_rays(cells.withColumn("felled", surface), offset_rows(sectors, reach, res, digits), OFFSETS, ["dsm", "felled", "landcover"])
     slope = (F.col("dsm") - F.col("eye")) / F.col("entry")
     return (
         seen.withColumn("slope", slope).withColumn("bare", (F.col("felled") - F.col("eye")) / F.col("entry"))
@@ -54,10 +58,9 @@ def bracket(cells: DataFrame, azimuth: float, elevation: float, reach: float, re
     """(row, col, most, least): shade if obstacles stand where the ray enters their cell, and where it leaves it."""
     cut = (lambda v: v) if digits is None else (lambda v: round(v, digits))
     rows = [(k, r, c, cut(e), cut(x)) for k, (r, c, e, x) in enumerate(ray_cells(azimuth, reach, res))]
-    rays = cells.sparkSession.createDataFrame(rows, "ord int, d_row int, d_col int, entry double, exit double")
     rise = math.tan(math.radians(elevation))
     above = lambda d: F.bool_or(F.col("dsm") > F.col("eye") + F.lit(rise) * F.col(d))
-    return along_rays(cells, rays, ["dsm"]).groupBy("row", "col").agg(above("entry").alias("most"), above("exit").alias("least"))
+    return along_rays(cells, rows, "ord int, d_row int, d_col int, entry double, exit double", ["dsm"]).groupBy("row", "col").agg(above("entry").alias("most"), above("exit").alias("least"))
 
 
 def first_blocker(cells: DataFrame, azimuth: float, elevation: float, reach: float, res: float, digits: int | None = None) -> DataFrame:
@@ -67,8 +70,7 @@ def first_blocker(cells: DataFrame, azimuth: float, elevation: float, reach: flo
     """
     cut = (lambda v: v) if digits is None else (lambda v: round(v, digits))
     rows = [(k, r, c, cut(e)) for k, (r, c, e, _) in enumerate(ray_cells(azimuth, reach, res))]
-    rays = cells.sparkSession.createDataFrame(rows, "ord int, d_row int, d_col int, entry double")
-    seen = along_rays(cells, rays, ["dsm", "landcover"])
+    seen = along_rays(cells, rows, "ord int, d_row int, d_col int, entry double", ["dsm", "landcover"])
     blocks = F.degrees(F.atan2(F.col("dsm") - F.col("eye"), F.col("entry"))) >= elevation
     # A convex grid is left once: the cells met are those before the first gap.
     walk = seen.groupBy("row", "col").agg(F.min(F.when(blocks, F.struct("ord", "landcover"))).alias("hit"))
@@ -92,39 +94,47 @@ def sweep(cells: DataFrame, sectors: int, reach: float, res: float, tile: int =
     )
     wanted = cells.where(covered).select(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).distinct()
 
-    def kernel(key, block: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(key[0]) * tile, int(key[1]) * tile
+    def kernel(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        r0, c0 = key[0].as_py() * tile, key[1].as_py() * tile
         size = tile + 2 * pad
         rows, cols = block["row"].to_numpy() - r0 + pad, block["col"].to_numpy() - c0 + pad
         plane = lambda name, kind, none: _placed(size, rows, cols, block[name].to_numpy(), kind, none)
         dsm, dtm = plane("dsm", np.float32, -np.inf), plane("dtm", np.float32, np.nan)
-        cover, lit = plane("landcover", np.int16, NO_BLOCKER), plane("covered", bool, False)
+        cover, lit = plane("landcover", np.uint8, NO_BLOCKER), plane("covered", bool, False)
+        wooded = bool((cover == VEGETATION).any())  # without trees both skylines are one
         bare = np.where(cover == VEGETATION, np.where(np.isnan(dtm), -np.inf, dtm), dsm)
         inner = (slice(pad, pad + tile),) * 2
         eye = dtm[inner] + np.float32(EYE)
         out = np.empty((3, sectors, tile, tile), np.int16)
+        by_sector: list[list[tuple]] = [[] for _ in range(sectors)]
+        for s, _, dr, dc, entry, _ in rays:
+            by_sector[s].append(((slice(pad + dr, pad + dr + tile), slice(pad + dc, pad + dc + tile)), np.float32(entry)))
+        slope, better = np.empty((tile, tile), np.float32), np.empty((tile, tile), bool)
         for s in range(sectors):
             best = np.full((tile, tile), -np.inf, np.float32)
-            kind = np.full((tile, tile), NO_BLOCKER, np.int16)
-            best_bare = best.copy()
-            for sector, _, dr, dc, entry, _ in rays:
-                if sector != s:
-                    continue
-                at = (slice(pad + dr, pad + dr + tile), slice(pad + dc, pad + dc + tile))
-                slope = (dsm[at] - eye) / np.float32(entry)
-                better = slope > best
-                best[better], kind[better] = slope[better], cover[at][better]
-                np.fmax(best_bare, (bare[at] - eye) / np.float32(entry), out=best_bare)
+            kind = np.full((tile, tile), NO_BLOCKER, np.uint8)
+            best_bare = np.full((tile, tile), -np.inf, np.float32) if wooded else best
+            for at, entry in by_sector[s]:
+                np.subtract(dsm[at], eye, out=slope)
+                np.divide(slope, entry, out=slope)
+                np.greater(slope, best, out=better)
+                np.copyto(best, slope, where=better)
+                np.copyto(kind, cover[at], where=better)
+                if wooded:
+                    np.subtract(bare[at], eye, out=slope)
+                    np.divide(slope, entry, out=slope)
+                    np.fmax(best_bare, slope, out=best_bare)
             kind[~(best > 0)] = NO_BLOCKER
             for plane_, values in ((0, best), (1, best_bare)):
                 degrees = np.maximum(np.degrees(np.arctan(values)), 0)
                 out[plane_, s] = np.clip(np.rint(degrees * (TOP / MAX_ANGLE)), 0, TOP)
             out[2, s] = kind
         at = np.nonzero(lit[inner])
-        q, bare_q, kinds = (list(a[:, at[0], at[1]].T) for a in out)
-        return pd.DataFrame({"row": at[0] + r0, "col": at[1] + c0, "q": q, "q_felled": bare_q, "blocker": kinds})
+        ends = pa.array(np.arange(len(at[0]) + 1, dtype=np.int32) * sectors)
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(a[:, at[0], at[1]].T).ravel())) for a in out]
+        return pa.Table.from_arrays([pa.array((at[0] + r0).astype(np.int32)), pa.array((at[1] + c0).astype(np.int32)), *arrays], names=["row", "col", "q", "q_felled", "blocker"])
 
-    return spread.join(wanted, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(kernel, "row int, col int, q array<smallint>, q_felled array<smallint>, blocker array<smallint>")
+    return spread.join(wanted, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInArrow(kernel, "row int, col int, q array<smallint>, q_felled array<smallint>, blocker array<smallint>")
 
 
 def _placed(size: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, kind, none) -> np.ndarray:

@@ -50,14 +50,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
         edges.select(*rest, F.col("v").alias("head"), F.col("u").alias("tail"), F.lit(False).alias("forward")))
 
 
+def at_instants(samples: DataFrame, states: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """Every sample at every instant: the instants are the fixed ladder (83), gathered in one row and exploded."""
+    found = states.select(*keys).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} instants")
+    fields = states.select(*keys).schema
+    ladder = F.array(*[F.struct(*[F.lit(r[k]).cast(fields[k].dataType).alias(k) for k in keys]) for r in found]) if found else F.array().cast(f"array<{fields.simpleString()}>")
+    return samples.withColumn("_k", F.explode(ladder)).select(*samples.columns, *[F.col(f"_k.{k}").alias(k) for k in keys])
+
+
 def edge_fractions(samples: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
     """Share of an edge's samples in sun and under crowns, quantised; unknown places are sun.
 
     ``samples``: edge, row, col; ``states``: row, col, ``keys``, code.
     """
-    instants = states.select(*keys).distinct()
-    wanted = samples.join(F.broadcast(instants))  # instants: the fixed ladder, tens of rows
-    met = wanted.join(states, [*keys, "row", "col"], "left")
+    met = at_instants(samples, states, keys).join(states, [*keys, "row", "col"], "left")
     sun = F.coalesce(F.col("code").isin(SUN, OUTSIDE), F.lit(True)).cast("double")
     trees = F.coalesce(F.col("code").isin(SHADE_VEGETATION, SHADE_BOTH), F.lit(False)).cast("double")
     q = lambda v: F.rint(F.avg(v) * 255).cast("smallint")
