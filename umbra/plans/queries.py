@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions import angles, projection, text
-from umbra.functions.sun import sun_at
 from umbra.operators import audit, binning, horizon, lines, network, regions, shade
 from umbra.operators.rays import offset_rows, offsets
 from umbra.plans import chain, cost, derived as d, ladder
@@ -700,4 +699,142 @@ def flagship(spark, sf) -> DataFrame:
     return shade.verdict(rows).select("row", "col", "sun", "state", "shade_type", r6("horizon"))
 
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "math", "sun_at"]
+
+# More of the inventory
+
+@query("SELECT l_orderkey, l_linenumber, l_orderkey // 64 AS block_row, l_partkey // 64 AS block_col, -3 + (l_partkey % 40 + 0.5::DOUBLE) * 2 AS cx, 100 - (l_orderkey % 40 + 0.5::DOUBLE) * 2 AS cy FROM lineitem")
+def cell_keys(spark, sf) -> DataFrame:
+    """Block keys and cell centres of every point."""
+    from umbra.functions.grid import Grid, tile_of
+
+    g = Grid(-3.0, 100.0, 2.0, 40, 40)
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", tile_of(F.col("l_orderkey"), 64).cast("long").alias("block_row"), tile_of(F.col("l_partkey"), 64).cast("long").alias("block_col"), g.center_x(F.col("l_partkey") % 40).alias("cx"), g.center_y(F.col("l_orderkey") % 40).alias("cy"))
+
+
+_BOXES = "SELECT p_partkey AS id, (p_partkey * 17 % 35)::DOUBLE AS x0, (p_partkey * 23 % 35)::DOUBLE AS y0, (p_size % 5 + 1)::DOUBLE AS w, (p_size % 3 + 2)::DOUBLE AS h FROM part"
+
+
+def _boxes(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    x0, y0, w, h = (k * 17 % 35).cast("double"), (k * 23 % 35).cast("double"), (F.col("p_size") % 5 + 1).cast("double"), (F.col("p_size") % 3 + 2).cast("double")
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return table(spark, sf, "part").select(k.alias("id"), F.array(F.array(at(x0, y0), at(x0 + w, y0), at(x0 + w, y0 + h), at(x0, y0 + h))).alias("rings"))
+
+
+@query(f"SELECT id, w * h AS area FROM ({_BOXES})")
+def polygon_area(spark, sf) -> DataFrame:
+    from umbra.operators.polygons import polygon_area as area
+
+    return _boxes(spark, sf).select("id", area(F.col("rings")).alias("area"))
+
+
+@query(f"SELECT r.row::INT AS row, c.col::INT AS col, max(id) AS id FROM (SELECT range AS row FROM range(40)) r, (SELECT range AS col FROM range(40)) c, ({_BOXES}) WHERE c.col + 0.5 BETWEEN x0 AND x0 + w AND 40 - (r.row + 0.5) BETWEEN y0 AND y0 + h GROUP BY 1, 2")
+def polygon_cells(spark, sf) -> DataFrame:
+    """Footprints burnt by the centre rule; where several lie the last wins."""
+    from umbra.operators.polygons import rasterise
+
+    return rasterise(_boxes(spark, sf), GRID)
+
+
+@query(with_sql("""
+SELECT a.row, a.col, round(greatest(-6, least(6, CASE WHEN a.landcover = 2 THEN min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) ELSE -min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) END)), 6) AS distance
+FROM cells a JOIN cells b ON (a.landcover = 2) <> (b.landcover = 2) GROUP BY a.row, a.col, a.landcover""", "cells"))
+def distance_field(spark, sf) -> DataFrame:
+    from umbra.operators.tiles import signed_distances
+
+    c = d.cells(spark, sf).withColumn("on", F.col("landcover") == 2)
+    return signed_distances(c, "on", 6, tile=16).select("row", "col", r6("distance"))
+
+
+@query(with_sql("SELECT (col // 4)::BIGINT AS px, (row // 4)::BIGINT AS py, round(avg(dsm::DOUBLE), 6) AS value FROM cells GROUP BY 1, 2", "cells"))
+def resample_mean(spark, sf) -> DataFrame:
+    from umbra.operators.resample import resample
+
+    c = d.cells(spark, sf).withColumnRenamed("dsm", "value")
+    return resample(c, "value", (F.col("col") + 0.5) / 4, (F.col("row") + 0.5) / 4, 4.0).select("px", "py", r6("value"))
+
+
+_LAGS = lambda c, w: "(" + " + ".join(f"coalesce({math.exp(-0.5 * k * k)!r}::DOUBLE * {f'lag({c}, {-k}) OVER {w}' if k else c}, 0)" for k in range(-3, 4)) + ") / (" + " + ".join(f"CASE WHEN {f'lag({c}, {-k}) OVER {w}' if k else c} IS NOT NULL THEN {math.exp(-0.5 * k * k)!r}::DOUBLE ELSE 0 END" for k in range(-3, 4)) + ")"
+
+
+@query(with_sql(f"SELECT row, col, round({_LAGS('b', 'w')}, 6) AS blurred FROM (SELECT row, col, {_LAGS('z', 'w')} AS b FROM (SELECT row, col, dsm::DOUBLE AS z FROM cells) WINDOW w AS (PARTITION BY row ORDER BY col)) WINDOW w AS (PARTITION BY col ORDER BY row)", "cells"))
+def blur(spark, sf) -> DataFrame:
+    from umbra.operators.resample import blur as smooth
+
+    return smooth(d.cells(spark, sf).withColumn("z", F.col("dsm").cast("double")), "z", 1.0).select("row", "col", r6("blurred"))
+
+
+@query(with_sql("SELECT event_id, round(horizon - elevation, 5) AS margin, round(horizon_felled - elevation, 5) AS margin_felled FROM seen", "seen"))
+def shade_margins(spark, sf) -> DataFrame:
+    s = _seen(spark, sf)
+    return s.select("event_id", F.round(F.col("horizon") - F.col("elevation"), 5).alias("margin"), F.round(F.col("horizon_felled") - F.col("elevation"), 5).alias("margin_felled"))
+
+
+@query(with_sql("""
+SELECT user_id, '| ' || user_id || ' | u' || user_id || ' | ' || string_agg(strftime("start", '%H:%M') || '-' || strftime("end", '%H:%M') || ' ' || coalesce(shade_type, state), ', ' ORDER BY "start", shade_type NULLS FIRST, state) || ' |' AS line FROM runs GROUP BY user_id""", "judged", extra=_RUNS))
+def predict_sheet(spark, sf) -> DataFrame:
+    from umbra.sources.files import sheet
+
+    runs = _runs(spark, sf).withColumn("id", F.col("user_id").cast("string")).withColumn("name", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return sheet(runs).select(F.col("id").cast("long").alias("user_id"), "line")
+
+
+@query("""
+SELECT c.city, CASE WHEN b.epsg IS NULL THEN 'skip' WHEN b.epsg <> c.epsg OR NOT coalesce(g.coherent, true) THEN 'abort' ELSE 'serve' END AS verdict,
+       (b.epsg IS NOT NULL AND b.epsg = c.epsg AND coalesce(g.coherent, true)) AND coalesce(g.coherent, false) AS routes
+FROM (SELECT n_nationkey AS city, 25830 AS epsg FROM nation) c LEFT JOIN (SELECT c_nationkey AS city, (25829 + count(*) % 3)::INT AS epsg FROM customer WHERE c_nationkey % 4 <> 0 GROUP BY 1) b USING (city)
+LEFT JOIN (SELECT s_nationkey AS city, min(s_acctbal) > 0 AS coherent FROM supplier GROUP BY 1) g USING (city)""")
+def city_registry(spark, sf) -> DataFrame:
+    from umbra.plans.registry import registry
+
+    cities = table(spark, sf, "nation").select(F.col("n_nationkey").alias("city"), F.lit(25830).alias("epsg"))
+    built = table(spark, sf, "customer").where("c_nationkey % 4 <> 0").groupBy(F.col("c_nationkey").alias("city")).agg((F.count("*") % 3 + 25829).cast("int").alias("epsg"))
+    graphs = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("city")).agg((F.min("s_acctbal") > 0).alias("coherent"))
+    return registry(cities, built, graphs)
+
+
+@query("""
+SELECT city, array_to_string(list(credit ORDER BY position), '; ') AS attribution FROM (SELECT o_custkey AS city, o_orderpriority AS credit, min(o_orderkey) AS position FROM orders GROUP BY 1, 2) GROUP BY city""")
+def attribution(spark, sf) -> DataFrame:
+    from umbra.plans.registry import attribution as credits_
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("city"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("credit"))
+    return credits_(o).select("city", F.array_join("attribution", "; ").alias("attribution"))
+
+
+@query("SELECT job, unit, round(avg(seconds) OVER (PARTITION BY job ORDER BY unit) * (total - row_number() OVER (PARTITION BY job ORDER BY unit)), 1) AS left_s FROM (SELECT user_id AS job, event_id AS unit, value AS seconds, 1000 AS total FROM events)")
+def eta(spark, sf) -> DataFrame:
+    from umbra.plans.registry import eta as remaining
+
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("unit"), F.col("value").alias("seconds"), F.lit(1000).alias("total"))
+    return remaining(ev).select("job", "unit", F.round("left_s", 1).alias("left_s"))
+
+
+@query("""
+SELECT city, name, failed FROM (SELECT c_nationkey AS city, max(c_custkey) AS k FROM customer GROUP BY 1), LATERAL (VALUES ('verify', k % 2 = 0), ('coverage', k % 3 = 0 AND k % 5 <> 0), ('manifest', k % 7 = 0), ('basemap', k % 4 = 0), ('tiles', k % 6 = 0), ('engine', false)) AS v(name, failed)""")
+def publish_readiness(spark, sf) -> DataFrame:
+    from umbra.plans.publish import readiness
+
+    k = F.col("k")
+    facts = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("city")).agg(F.max("c_custkey").alias("k")).select(
+        "city", F.when(k % 2 == 0, F.array(F.lit("leaks"))).otherwise(F.array().cast("array<string>")).alias("failed_checks"), (k % 3 == 0).alias("has_area"), (k % 5 == 0).alias("has_coverage"),
+        (k % 7 != 0).alias("has_manifest"), (k % 4 != 0).alias("has_basemap"), (k % 6 == 0).cast("int").alias("tiles_built"), F.lit(0).alias("built"), F.lit("e1").alias("engine"))
+    return readiness(facts, "e1").select("city", "name", F.col("failure").isNotNull().alias("failed"))
+
+
+@query()
+def tile_images(spark, sf) -> DataFrame:
+    """State tiles of the derived city as paletted images."""
+    from umbra.operators.tiles import render
+
+    colors = {0: (0, 0, 0, 0), 1: (40, 50, 90, 140), 2: (30, 90, 50, 140), 3: (60, 60, 60, 140), 255: (0, 0, 0, 0)}
+    cells = d.states(spark, sf).where("column = 0").select("row", "col", F.when(F.col("code") == 4, 1).otherwise(F.col("code")).alias("code"))
+    return render(cells, (-4.80, 37.87, -4.79, 37.88), 15, (40, 40), colors).select("tile_id", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("png_sha256"))
+
+
+@query()
+def region_outlines(spark, sf) -> DataFrame:
+    from umbra.operators.polygons import outlines
+
+    return outlines(regions.components(_mask(spark, sf).where("on")), GRID).select("region", "area", F.size("rings").alias("n_rings"))
