@@ -803,12 +803,12 @@ def attribution(spark, sf) -> DataFrame:
     return credits_(o).select("city", F.array_join("attribution", "; ").alias("attribution"))
 
 
-@query("SELECT job, unit, round(avg(seconds) OVER (PARTITION BY job ORDER BY unit) * (total - row_number() OVER (PARTITION BY job ORDER BY unit)), 1) AS left_s FROM (SELECT user_id AS job, event_id AS unit, value AS seconds, 1000 AS total FROM events)")
+@query("SELECT job, unit, round(avg(seconds) OVER (PARTITION BY job ORDER BY unit) * (total - row_number() OVER (PARTITION BY job ORDER BY unit)), 3) AS left_s FROM (SELECT user_id AS job, event_id AS unit, round(value * 100)::BIGINT AS seconds, 1000 AS total FROM events)")
 def eta(spark, sf) -> DataFrame:
     from umbra.plans.registry import eta as remaining
 
-    ev = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("unit"), F.col("value").alias("seconds"), F.lit(1000).alias("total"))
-    return remaining(ev).select("job", "unit", F.round("left_s", 1).alias("left_s"))
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("unit"), F.round(F.col("value") * 100).cast("long").alias("seconds"), F.lit(1000).alias("total"))
+    return remaining(ev).select("job", "unit", F.round("left_s", 3).alias("left_s"))
 
 
 @query("""
