@@ -214,30 +214,35 @@ def questions(blocks: DataFrame, answers: DataFrame, totals: dict, n_word_shards
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         ends = starts + lengths
         size = int(lengths.sum()) + n_docs
-        word, count = np.empty(size, np.int64), np.empty(size, np.int64)
+        small = np.int32 if max(int(ids.max(initial=0)), int(counts.max(initial=0)), totals["ends"], size) < 1 << 31 else np.int64
+        word, count = np.full(size, END, small), np.full(size, totals["ends"], small)
         inner = np.ones(size, bool)
         inner[ends] = False
-        codes = docs["codes"].astype(np.int64)
-        word[inner], count[inner] = ids[codes], counts[codes]
-        word[ends], count[ends] = END, totals["ends"]
+        word[inner], count[inner] = ids.astype(small)[docs["codes"]], counts.astype(small)[docs["codes"]]
+        del inner, hashes, shard, order
         base = np.add.reduceat(np.log10((count + ADD) / (n + ADD * (v + 1))), starts)
-        known = np.add.reduceat((count > 0).astype(np.int64), starts)
-        context, seen = np.empty(size, np.int64), np.empty(size, np.int64)
+        known = np.add.reduceat(count > 0, starts, dtype=np.int64)
+        context, seen = np.empty(size, small), np.empty(size, small)
         context[1:], seen[1:] = word[:-1], count[:-1]
         context[starts], seen[starts] = BEGIN, totals["ends"]
-        doc = np.repeat(np.arange(n_docs), lengths + 1)
+        doc = np.repeat(np.arange(n_docs, dtype=np.int32), lengths + 1)
         train = np.repeat(~docs["held"], lengths + 1)
         # A context with more tokens than a shard's share is dealt over several by the next word.
-        deals = 1 + seen // SHARD_TOKENS if n_shards > 1 else np.ones(size, np.int64)
-        deal = (_mixed(word, word) % deals.astype(np.uint64)).astype(np.int64)
-        to = (_mixed(context, deal) % np.uint64(n_shards)).astype(np.int64)
+        deal = np.zeros(size, np.int32)
+        large = np.flatnonzero(seen >= SHARD_TOKENS)
+        deal[large] = _mixed(word[large], word[large]) % (1 + seen[large] // SHARD_TOKENS).astype(np.uint64)
+        to = (_mixed(context, deal) % np.uint64(n_shards)).astype(np.int32)
+        del deal, large
         rows = [(int(_mixed(np.array([block]), np.array([7]))[0] % np.uint64(n_shards)), block, 0, pack(ids=docs["ids"], null=docs["null"], held=docs["held"], n_tokens=narrow(lengths + 1), n_known=narrow(known), base=base))]
+        del docs
         by = np.lexsort((word, context, to))
         to_, context_, word_ = to[by], context[by], word[by]
+        del to, context, word
         fresh = np.concatenate([[True], (context_[1:] != context_[:-1]) | (word_[1:] != word_[:-1]) | (to_[1:] != to_[:-1])])
         kinds = np.flatnonzero(fresh)
         cuts = np.append(kinds, size)
-        trained = np.add.reduceat(train[by].astype(np.int64), kinds)
+        trained = np.add.reduceat(train[by], kinds, dtype=np.int64)
+        del train
         ranges = np.flatnonzero(np.concatenate([[True], np.diff(to_[kinds]) != 0]))
         for a, b in zip(ranges, np.append(ranges[1:], len(kinds)), strict=True):
             first, k = kinds[a], kinds[a:b]
