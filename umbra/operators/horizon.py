@@ -19,6 +19,7 @@ from umbra.functions.angles import MAX_ANGLE, NO_BLOCKER, TOP, VEGETATION, slope
 from umbra.operators.rays import OFFSETS, offset_rows, ray_cells
 
 EYE = 1.6
+MOST_PARTITIONS = 100_000
 
 
 def along_rays(cells: DataFrame, rays: list[tuple], fields: str, columns: list[str]) -> DataFrame:
@@ -134,7 +135,10 @@ def sweep(cells: DataFrame, sectors: int, reach: float, res: float, tile: int =
         arrays = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(a[:, at[0], at[1]].T).ravel())) for a in out]
         return pa.Table.from_arrays([pa.array((at[0] + r0).astype(np.int32)), pa.array((at[1] + c0).astype(np.int32)), *arrays], names=["row", "col", "q", "q_felled", "blocker"])
 
-    return spread.join(wanted, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInArrow(kernel, "row int, col int, q array<smallint>, q_felled array<smallint>, blocker array<smallint>")
+    # A tile is much work on little data: a partition for about every tile, which is not merged by size.
+    parts = min(2 * max(1, wanted.count()), MOST_PARTITIONS)
+    dealt = spread.join(wanted, ["tr", "tc"], "left_semi").repartition(parts, "tr", "tc")
+    return dealt.groupBy("tr", "tc").applyInArrow(kernel, "row int, col int, q array<smallint>, q_felled array<smallint>, blocker array<smallint>")
 
 
 def _placed(size: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, kind, none) -> np.ndarray:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from umbra.operators.numbering import numbered
 from umbra.operators.shade import OUTSIDE, SHADE_BOTH, SHADE_VEGETATION, SUN
 
 ALPHAS = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0)
@@ -35,11 +36,10 @@ def extract(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("len", F.when(F.size("geom") > 1, F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)).otherwise(0.0))
         .where(F.col("len") >= SHORTEST_EDGE)
     )
-    used = once.select(F.col("a").alias("node")).union(once.select(F.col("b").alias("node"))).distinct().withColumn("id", F.row_number().over(W.orderBy("node")) - 1)
-    edges = (
-        once.join(used.select(F.col("node").alias("a"), F.col("id").alias("u")), "a").join(used.select(F.col("node").alias("b"), F.col("id").alias("v")), "b")
-        .withColumn("edge", F.row_number().over(W.orderBy("u", "v", "len", "key")) - 1).select("edge", "u", "v", F.col("len").cast("float").alias("len"), "geom")
-    )
+    used = once.select(F.col("a").alias("node")).union(once.select(F.col("b").alias("node"))).distinct()
+    used = numbered(used, ["node"], "id")
+    ends = once.join(used.select(F.col("node").alias("a"), F.col("id").alias("u")), "a").join(used.select(F.col("node").alias("b"), F.col("id").alias("v")), "b")
+    edges = numbered(ends, ["u", "v", "len", "key"], "edge").select(F.col("edge").cast("int").alias("edge"), "u", "v", F.col("len").cast("float").alias("len"), "geom")
     return nodes.join(used, "node").select("id", "x", "y"), edges
 
 

@@ -36,7 +36,7 @@ def components(cells: DataFrame, value: str | None = None, tile: int = TILE) ->
     neighbours beyond, and only those pairs of labels are joined into classes.
     """
     number = F.col("row").cast("long") * F.lit(1 << 31) + F.col("col").cast("long")
-    level = F.dense_rank().over(W.orderBy(value)) if value and dict(cells.dtypes)[value] not in ("boolean", "int", "smallint", "bigint") else F.col(value).cast("long") if value else F.lit(0).cast("long")
+    level = F.xxhash64(value) if value else F.lit(0).cast("long")
     keyed = cells.select("row", "col", level.alias("v")).withColumn("tr", F.floor(F.col("row") / tile)).withColumn("tc", F.floor(F.col("col") / tile))
 
     def label(key, block: pd.DataFrame) -> pd.DataFrame:
