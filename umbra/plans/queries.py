@@ -422,10 +422,16 @@ def route_alternatives(spark, sf) -> DataFrame:
     return network.pareto(network.distinct_routes(found))
 
 
-@query()
+@query("""
+WITH RECURSIVE ranked AS (SELECT o_custkey AS query, o_totalprice AS length, (o_orderkey * 7919 % 100003)::DOUBLE AS sun, o_orderkey::DOUBLE AS alpha, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey * 7919 % 100003, o_orderkey) AS n FROM orders),
+fold(query, n, best, kept, length, sun, alpha) AS (
+  SELECT query, n, sun, true, length, sun, alpha FROM ranked WHERE n = 1
+  UNION ALL SELECT r.query, r.n, CASE WHEN r.sun <= f.best - greatest(1e-6, 0.05::DOUBLE * f.best) THEN r.sun ELSE f.best END, r.sun <= f.best - greatest(1e-6, 0.05::DOUBLE * f.best), r.length, r.sun, r.alpha
+  FROM fold f JOIN ranked r ON r.query = f.query AND r.n = f.n + 1)
+SELECT query, (row_number() OVER (PARTITION BY query ORDER BY n) - 1)::INT AS position, length, sun, alpha FROM fold WHERE kept""")
 def pareto_alternatives(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), F.col("o_totalprice").alias("length"), (F.col("o_orderkey") * 7919 % 100003).cast("double").alias("sun_length"), F.col("o_orderkey").cast("double").alias("alpha"))
-    return network.pareto(o)
+    return network.pareto(o).select("query", F.posexplode("front").alias("position", "x")).select("query", "position", "x.*")
 
 
 @query("""
@@ -467,12 +473,34 @@ def region_shapes(spark, sf) -> DataFrame:
     return s.select(F.floor(F.col("region") / (1 << 31)).cast("int").alias("root_row"), (F.col("region") % (1 << 31)).cast("int").alias("root_col"), "area", "longest", r6("sd"))
 
 
-@query()
+def _classes_sql(name: str, source: str) -> str:
+    """Recursive tables that label the 8-connected cells of equal "on" of a table."""
+    return f"""
+{name}_reach(cell, region, "on") AS (
+  SELECT row * 1000 + col, row * 1000 + col, "on" FROM {source}
+  UNION SELECT m.row * 1000 + m.col, r.region, m."on" FROM {name}_reach r JOIN {source} m ON m."on" = r."on" AND abs(m.row - r.cell // 1000) <= 1 AND abs(m.col - r.cell % 1000) <= 1),
+{name} AS (SELECT cell // 1000 AS row, cell % 1000 AS col, any_value("on") AS "on", min(region) AS region FROM {name}_reach GROUP BY cell)"""
+
+
+def _sieve_sql(name: str, source: str) -> str:
+    return f"""{_classes_sql(name + '_l', source)},
+{name}_a AS (SELECT *, count(*) OVER (PARTITION BY region) AS area FROM {name}_l),
+{name}_t AS (SELECT a.region, first(b."on" ORDER BY b.area DESC, b.region) AS taken FROM {name}_a a JOIN {name}_a b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.region <> b.region WHERE a.area < 8 GROUP BY a.region),
+{name} AS (SELECT a.row, a.col, coalesce(t.taken, a."on") AS "on" FROM {name}_a a LEFT JOIN {name}_t t ON t.region = a.region)"""
+
+
+@query(with_sql('SELECT row::INT AS row, col::INT AS col, "on" FROM sieved', "binned", extra=f"{_MASK}, {_sieve_sql('sieved', 'mask')}", recursive=True))
 def sieve_canopy(spark, sf) -> DataFrame:
     return regions.sieve(_mask(spark, sf))
 
 
-@query()
+_TALL = "tall AS (SELECT row, col, (dsm - dtm)::FLOAT AS chm, landcover = 1 AND (dsm - dtm)::FLOAT >= 2.5::FLOAT AS \"on\" FROM cells)"
+
+
+@query(with_sql("""
+SELECT c.row::INT AS row, c.col::INT AS col FROM crowns c JOIN
+  (SELECT region, stddev_pop(chm) AS sd, count(*) AS area, greatest(max(k.row) - min(k.row), max(k.col) - min(k.col)) + 1 AS longest FROM crowns k JOIN tall ON tall.row = k.row AND tall.col = k.col GROUP BY region) s USING (region)
+WHERE NOT (sd < 0.20 OR (longest >= 8 AND area <= 2 * longest))""", "cells", extra=f"{_TALL}, {_sieve_sql('sieved', 'tall')}, kept AS (SELECT row, col, true AS \"on\" FROM sieved WHERE \"on\"), {_classes_sql('crowns', 'kept')}", recursive=True))
 def canopy_mask(spark, sf) -> DataFrame:
     return regions.canopy(d.cells(spark, sf)).select("row", "col")
 
@@ -485,7 +513,22 @@ def grey_opening(spark, sf) -> DataFrame:
     return regions.opening(d.cells(spark, sf), "dsm").select("row", "col", F.col("opened").cast("double").alias("opened"))
 
 
-@query()
+_STICKS = f"""
+{_OPENED},
+sticks AS (SELECT row, col, true AS "on" FROM opened WHERE dsm - opened >= 3 AND opened - dtm < 2),
+{_classes_sql('lines', 'sticks')},
+felled_lines AS (SELECT region FROM lines GROUP BY region HAVING greatest(max(row) - min(row), max(col) - min(col)) + 1 >= 8 AND count(*) <= 2 * (greatest(max(row) - min(row), max(col) - min(col)) + 1)
+  EXCEPT SELECT region FROM lines l JOIN cells c ON c.row = l.row AND c.col = l.col WHERE landcover = 2),
+flat AS (SELECT c.row, c.col, CASE WHEN f.region IS NULL THEN c.dsm ELSE greatest(o.opened, c.dtm) END AS dsm, c.dtm, c.landcover
+  FROM cells c JOIN opened o ON o.row = c.row AND o.col = c.col LEFT JOIN lines l ON l.row = c.row AND l.col = c.col LEFT JOIN felled_lines f ON f.region = l.region),
+low AS (SELECT row, col, true AS "on" FROM flat WHERE (dsm - dtm)::FLOAT BETWEEN 1 AND 3 AND landcover <> 2),
+{_classes_sql('slabs', 'low')},
+smooth AS (SELECT region FROM slabs s JOIN flat f ON f.row = s.row AND f.col = s.col GROUP BY region HAVING stddev_pop((dsm - dtm)::FLOAT) < 0.20),
+rim AS (SELECT f.row, f.col, max(s.region) AS region, any_value((f.dsm - f.dtm)::FLOAT) AS chm FROM flat f JOIN slabs s ON abs(s.row - f.row) <= 1 AND abs(s.col - f.col) <= 1 LEFT JOIN slabs own ON own.row = f.row AND own.col = f.col WHERE own.row IS NULL GROUP BY f.row, f.col),
+gone AS (SELECT region FROM rim GROUP BY region HAVING avg((chm < 1)::INT) >= 0.75 INTERSECT SELECT region FROM smooth)"""
+
+
+@query(with_sql("SELECT f.row, f.col, round((CASE WHEN g.region IS NULL THEN f.dsm ELSE f.dtm END)::DOUBLE, 6) AS dsm, round(f.dtm::DOUBLE, 6) AS dtm, f.landcover FROM flat f LEFT JOIN slabs s ON s.row = f.row AND s.col = f.col LEFT JOIN gone g ON g.region = s.region", "cells", extra=_STICKS, recursive=True))
 def declutter(spark, sf) -> DataFrame:
     c = d.cells(spark, sf).withColumn("built", F.col("landcover") == 2)
     return regions.declutter(c).select("row", "col", r6("dsm"), r6("dtm"), F.col("landcover").cast("int").alias("landcover"))
@@ -620,7 +663,13 @@ def tile_ids(spark, sf) -> DataFrame:
     return regions.union_all(parts)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT DISTINCT greatest(0, least(32767, floor((lon + 180) / 360 * 32768)))::INT AS tile_x, greatest(0, least(32767, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 32768)))::INT AS tile_y FROM ({_PLACE})),
+walk(tile_x, tile_y, x, y, half, d) AS (
+  SELECT tile_x, tile_y, tile_x::BIGINT, tile_y::BIGINT, 16384::BIGINT, 0::BIGINT FROM t
+  UNION ALL SELECT tile_x, tile_y, CASE WHEN ry THEN mx ELSE my END, CASE WHEN ry THEN my ELSE mx END, half // 2, d + half * half * (CASE WHEN rx AND ry THEN 2 WHEN rx THEN 3 WHEN ry THEN 1 ELSE 0 END)
+  FROM (SELECT *, CASE WHEN rx AND NOT ry THEN half - 1 - x % half ELSE x % half END AS mx, CASE WHEN rx AND NOT ry THEN half - 1 - y % half ELSE y % half END AS my FROM (SELECT *, x // half % 2 = 1 AS rx, y // half % 2 = 1 AS ry FROM walk WHERE half > 0)))
+SELECT tile_x, tile_y, d + (4 ** 15 - 1)::BIGINT // 3 AS tile_id FROM walk WHERE half = 0""")
 def tile_order(spark, sf) -> DataFrame:
     """Tiles in archive order, by the Hilbert curve of each zoom."""
     x, y = projection.mercator_tile(F.col("lon"), F.col("lat"), 15)
@@ -670,7 +719,14 @@ def newest_runs(spark, sf) -> DataFrame:
     return chain.newest(table(spark, sf, "events").withColumn("at", F.struct("ts", "event_id")), ["user_id"], "at", 10).select("user_id", "event_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE hits AS (SELECT user_id AS client, event_type AS path, event_id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+fold(client, path, event_id, n, held, ok) AS (
+  SELECT client, path, event_id, n, [at_us], true FROM hits WHERE n = 1
+  UNION ALL SELECT h.client, h.path, h.event_id, h.n, CASE WHEN len(live) < 6 THEN list_append(live, h.at_us) ELSE live END, len(live) < 6
+  FROM (SELECT f.client, f.path, f.n, list_filter(f.held, lambda x: x > h2.at_us - 86400000000) AS live FROM fold f JOIN hits h2 ON h2.client = f.client AND h2.path = f.path AND h2.n = f.n + 1) g
+  JOIN hits h ON h.client = g.client AND h.path = g.path AND h.n = g.n + 1)
+SELECT client, path, event_id, ok FROM fold""")
 def rate_limit(spark, sf) -> DataFrame:
     from umbra.streaming.limits import accepted
 
