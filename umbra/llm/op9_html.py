@@ -34,7 +34,7 @@ from umbra.llm.tokens import slices, split_words
 
 PATH_SLOTS, WORD_SLOTS, MEASURES, HIDDEN = 512, 32, 6, 16
 #: Training: pages, passes, pages a step, and the seed of all of it.
-PAGES, EPOCHS, STEP, SEED = 1200, 6, 24, 20240229
+PAGES, EPOCHS, STEP, SEED = 1800, 8, 24, 20240229
 #: While training, this share of blocks hides its words, and word weights shrink by this a step: places say more than words.
 HIDDEN_WORDS, WORD_DECAY = 0.6, 0.02
 PAGES_AT_ONCE = 256
@@ -242,7 +242,7 @@ def training_page(rng: np.random.Generator) -> str:
         return "".join(f"<li>{entry()}</li>" for _ in range(rng.integers(lo, hi + 1)))
 
     def menu() -> str:
-        return _pick(rng, "<nav>{}</nav>", '<div class="menu">{}</div>', '<div id="navbar">{}</div>', '<div role="navigation">{}</div>', '<header><nav>{}</nav></header>').format(f"<ul>{items(2, 8)}</ul>")
+        return _pick(rng, "<nav>{}</nav>", "<nav>{}</nav>", '<nav class="main-navigation">{}</nav>', '<div class="nav">{}</div>', '<ul class="breadcrumbs">{}</ul>', '<div class="menu">{}</div>', '<div id="navbar">{}</div>', '<div role="navigation">{}</div>', '<header><nav>{}</nav></header>').format(f"<ul>{items(2, 8)}</ul>")
 
     def box(*names: str, lo: int = 1, hi: int = 25) -> str:
         name = _pick(rng, *names)
@@ -250,7 +250,7 @@ def training_page(rng: np.random.Generator) -> str:
         return f'<{name}>{body}</{name.split()[0]}>'
 
     def advert() -> str:
-        return box('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="banner"', 'div class="promo"', 'div class="sponsored"', 'aside class="ad"', 'div id="ad-top"', "aside", lo=1, hi=30)
+        return box('div class="ad"', 'div class="ad-container"', 'div class="ad-slot"', 'section class="ads"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="banner"', 'div class="promo"', 'div class="sponsored"', 'aside class="ad"', 'div id="ad-top"', "aside", lo=1, hi=30)
 
     def notice() -> str:
         return box('div class="cookie"', 'div class="cookie-notice"', 'div class="notice"', 'div id="consent"', 'div class="alert"', 'div role="alert"', 'div class="popup"', lo=3, hi=30)
@@ -260,18 +260,18 @@ def training_page(rng: np.random.Generator) -> str:
         return _pick(rng, f"<form>{body}</form>", f'<form class="search">{body}</form>', f'<div class="newsletter"><form><p>{rest(3, 15)}</p>{body}</form></div>', f"<form><select><option>{rest(1, 2)}</option><option>{rest(1, 2)}</option></select></form>")
 
     def side() -> str:
-        return box("aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share"', 'div class="social"', lo=2, hi=30)
+        return box("aside", 'aside class="sidebar"', 'aside class="widget-area"', 'div class="sidebar"', 'div id="sidebar"', 'div class="related"', 'section class="related-posts"', 'div class="widget"', 'div class="share"', 'div class="social"', lo=2, hi=30)
 
     def comments() -> str:
         each = "".join(_pick(rng, '<div class="comment"><p>{}</p></div>', '<li class="comment">{}</li>', '<article class="comment"><p>{}</p></article>').format(rest(3, 50)) for _ in range(rng.integers(1, 5)))
-        return _pick(rng, f'<section class="comments"><h2>{rest(1, 3)}</h2>{each}</section>', f'<div id="comments">{each}</div>', f'<ol class="comment-list">{each}</ol>', f'<div class="replies">{each}</div>')
+        return _pick(rng, f'<div id="comments" class="comments-area"><h2 class="comments-title">{rest(1, 4)}</h2><ol class="comment-list">{each}</ol><form class="comment-form"><label>{rest(1, 4)}</label></form></div>', f'<section id="comments">{each}</section>', f'<section class="comments"><h2>{rest(1, 3)}</h2>{each}</section>', f'<div id="comments">{each}</div>', f'<ol class="comment-list">{each}</ol>', f'<div class="replies">{each}</div>')
 
     def footer() -> str:
         return box("footer", 'div class="footer"', 'div id="footer"', "footer", lo=3, hi=25) if maybe(0.5) else f"<footer>{rest(2, 25)}</footer>"
 
     def article() -> str:
         title = main(2, 14)
-        head = _pick(rng, f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h1>{title}</h1><h2>{main(2, 10)}</h2>", f"<h1>{title}</h1><p><b>{title}<br>")
+        head = _pick(rng, f"<h1>{title}</h1>", f'<header class="entry-header"><h1 class="entry-title">{title}</h1></header>', f'<header class="article-header"><h1>{title}</h1><p>{main(4, 20)}</p></header>', f'<h1 class="title">{title}</h1>', f"<header><h1>{title}</h1></header>", f"<h1>{title}</h1><h2>{main(2, 10)}</h2>", f"<h1>{title}</h1><p><b>{title}<br>")
         parts = []
         for _ in range(rng.integers(1, 14)):
             parts.append(_pick(rng, f"<p>{main()}</p>", f"<p>{main()}</p>", f"<p>{main(1, 4)}</p>", f"<p><b>{main()}<br>{main(3, 30)}<p>{main()}</p>", f"<h2>{main(1, 8)}</h2>", f"<ul><li>{main(2, 20)}</li><li>{main(2, 20)}</li></ul>",
@@ -279,13 +279,14 @@ def training_page(rng: np.random.Generator) -> str:
             if maybe(0.06):
                 parts.append(_pick(rng, advert, side, form, notice)())
         body = head + "".join(parts)
-        return _pick(rng, "<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<section class="story">{}</section>', '<div class="article-body">{}</div>', "<article>{}").format(body)
+        named = _pick(rng, "main", "text", "body", "story", "page-content", "article", "entry", "single", "post-body", "primary", "c" + str(rng.integers(99)))
+        return _pick(rng, "<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "{}", f'<div id="{named}">{{}}</div>', f'<div class="{named}">{{}}</div>', f'<article class="post {named}"><div class="{named}">{{}}</div></article>', f'<main id="{named}">{{}}</main>', "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content">{}</div>', '<div class="post"><div class="entry-content">{}</div></div>', '<section class="story">{}</section>', '<div class="article-body">{}</div>', "<article>{}").format(body)
 
     parts = []
     if maybe(0.4):
         parts.append(notice())
     if maybe(0.35):
-        parts.append(_pick(rng, "<header>{}</header>", '<div class="header">{}</div>', '<div id="header">{}</div>').format(_pick(rng, f"<h1>{rest(1, 4)}</h1>", f'<a href="/">{rest(1, 3)}</a><p>{rest(2, 9)}</p>')))
+        parts.append(_pick(rng, "<header>{}</header>", '<header class="site-header">{}</header>', '<div class="header">{}</div>', '<div id="header">{}</div>').format(_pick(rng, f"<h1>{rest(1, 4)}</h1>", f'<a href="/">{rest(1, 3)}</a><p>{rest(2, 9)}</p>', rest(1, 12))))
     if maybe(0.9):
         parts.append(menu())
     for chance, make in ((0.5, advert), (0.15, form), (0.2, side)):
