@@ -39,11 +39,15 @@ def sector_share(azimuth: Column, sectors: int = SECTORS) -> Column:
     return position - F.floor(position)
 
 
-def skyline_at(profile: Column, azimuth: Column, sectors: int = SECTORS) -> Column:
-    """Interpolated angle of a profile (array of degrees) at an azimuth."""
+def skyline_at(profile: Column, azimuth: Column, sectors: int = SECTORS, scale: float | None = None) -> Column:
+    """Interpolated angle of a profile at an azimuth: degrees, or codes times ``scale``.
+
+    Only the two sectors beside the azimuth are read.
+    """
     low = sector_below(azimuth, sectors)
     share = sector_share(azimuth, sectors)
-    return (1 - share) * F.get(profile, low) + share * F.get(profile, (low + 1) % sectors)
+    at = (lambda k: F.get(profile, k)) if scale is None else (lambda k: F.get(profile, k).cast("double") * scale)
+    return (1 - share) * at(low) + share * at((low + 1) % sectors)
 
 
 def contributing_sector(profile: Column, azimuth: Column, sectors: int = SECTORS) -> Column:

@@ -12,16 +12,11 @@ SUN, SHADE_BUILDING, SHADE_VEGETATION, SHADE_OTHER, SHADE_BOTH, OUTSIDE = 0, 1,
 OPAQUE_CANOPY = "tree crowns are taken as opaque"
 
 
-def degrees_of(profile: Column) -> Column:
-    return F.transform(profile, lambda q: q.cast("double") * (MAX_ANGLE / TOP))
-
-
 def read_skyline(rows: DataFrame, sectors: int = SECTORS) -> DataFrame:
     """Adds horizon, horizon_felled (degrees at ``azimuth``) and blocker_at from q, q_felled, blocker."""
-    q, bare = degrees_of(F.col("q")), degrees_of(F.col("q_felled"))
+    at = lambda c: skyline_at(F.col(c), F.col("azimuth"), sectors, MAX_ANGLE / TOP)
     return (
-        rows.withColumn("horizon", skyline_at(q, F.col("azimuth"), sectors))
-        .withColumn("horizon_felled", skyline_at(bare, F.col("azimuth"), sectors))
+        rows.withColumn("horizon", at("q")).withColumn("horizon_felled", at("q_felled"))
         .withColumn("blocker_at", F.get("blocker", contributing_sector(F.col("q"), F.col("azimuth"), sectors)))
     )
 
