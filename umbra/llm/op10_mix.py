@@ -58,7 +58,7 @@ def targets(buckets: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
         .withColumn("per_weight", F.col("cap") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(W.partitionBy(F.lit(1))))
         .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(fill.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("left_weight", F.sum("weight").over(W.partitionBy(F.lit(1))) - F.coalesce(F.sum("weight").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("capped", F.col("per_weight") <= F.col("left") / F.col("left_weight"))
     )
     # Where the first source stays below its cap, all that is left is shared by weight.
