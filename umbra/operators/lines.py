@@ -86,9 +86,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: st
     both = left.withColumn("_side", F.lit(1)).withColumn("_at", F.lit(None).cast(right.schema[ts].dataType)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(
         right.select(*keys, ts, F.col(ts).alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy(ts, "_side")
-    back, fore = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    # What follows is read in falling order: a frame that only grows costs one step a row.
+    back = w.rowsBetween(W.unboundedPreceding, 0)
+    fore = W.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col("_side").desc()).rowsBetween(W.unboundedPreceding, -1)
     pair = F.when(F.col("_side") == 0, F.struct("_at", "_v"))
-    out = both.withColumn("_low", F.last(pair, ignorenulls=True).over(back)).withColumn("_high", F.first(pair, ignorenulls=True).over(fore)).where(F.col("_side") == 1)
+    out = both.withColumn("_low", F.last(pair, ignorenulls=True).over(back)).withColumn("_high", F.last(pair, ignorenulls=True).over(fore)).where(F.col("_side") == 1)
     return out.withColumn("low_at", F.col("_low._at")).withColumn("low_value", F.col("_low._v")).withColumn("high_at", F.col("_high._at")).withColumn("high_value", F.col("_high._v")).drop("_side", "_at", "_v", "_low", "_high")
 
 

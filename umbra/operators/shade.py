@@ -91,7 +91,7 @@ def intervals(samples: DataFrame, keys: list[str], values: list[str], ts: str =
     marked = (
         samples.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).when(same, 0).otherwise(1))
         .withColumn("_next", F.coalesce(F.lead(ts).over(w), F.col(ts) + F.expr(step)))
-        .withColumn("_run", F.sum("_new").over(w))
+        .withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     )
     if night is not None:
         marked = marked.where(~night)

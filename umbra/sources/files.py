@@ -105,11 +105,11 @@ def viewer_zones(pages: DataFrame, color: str, icon: str) -> DataFrame:
     them.  Lines that no such marker follows belong to nobody.
     """
     things = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(_THING), 1)).alias("k", "t"))
-    w = W.partitionBy("page").orderBy("k")
+    w = W.partitionBy("page").orderBy(F.col("k").desc())
     line = F.regexp_extract("t", r"^var str = (\[\[.*\]\]);$", 1)
     marked = things.withColumn("line", F.when(line != "", line)).withColumn("hue", F.lower(F.regexp_extract("t", r"^color: '#([0-9a-fA-F]{6})'", 1))).withColumn("icon", F.regexp_extract("t", r"src: '\./marcas/(\w+)\.png'$", 1)).withColumn("name", F.regexp_extract("t", r"name: '([^']*)'", 1))
-    next_hue = F.first(F.when(F.col("hue") != "", F.col("hue")), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    next_marker = F.min(F.when(F.col("icon") != "", F.col("k"))).over(w.rowsBetween(0, W.unboundedFollowing))
+    next_hue = F.last(F.when(F.col("hue") != "", F.col("hue")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    next_marker = F.min(F.when(F.col("icon") != "", F.col("k"))).over(w.rowsBetween(W.unboundedPreceding, 0))
     own = marked.withColumn("next_hue", next_hue).withColumn("marker", next_marker)
     lines = own.where(F.col("line").isNotNull() & (F.col("next_hue") == color.lower())).groupBy("page", "marker").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("lines"))
     markers = own.where(F.col("icon") == icon).select("page", F.col("k").alias("marker"), "name")
