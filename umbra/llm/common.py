@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.operators.store import cut, shared_dir
+
+__all__ = ["WORD", "cut", "shared_dir", "table", "training_row"]
+
 #: Runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,32 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (single-machine tests) a temporary one is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = getattr(spark.sparkContext, "_umbra_shared", None)
-        if not path:
-            path = tempfile.mkdtemp(prefix="umbra-shared-")
-            spark.sparkContext._umbra_shared = path
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
-
-    A lost executor costs at most the re-read of its part of these files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/umbra-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def training_row(doc_id: Column, modulus: int) -> Column:
     """True for the rows whose crc32 of the id as text leaves a remainder; null ids train."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus != 0, F.lit(True))
