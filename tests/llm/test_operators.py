@@ -250,3 +250,23 @@ def test_pipeline_against_brute_force(spark, data):
     sizes = {i: len(brute.BLANK.findall(op5_secrets.redacted(rows[i].text))) for i in kept}
     assert all(r.size == sizes[i] and r.text == op5_secrets.redacted(rows[i].text) for i, r in out.items())
     assert abs(sum(r.taken for r in out.values()) - sum(sizes.values())) <= 60
+
+
+def test_every_stage_on_edge_cases(spark, docs, empty, data):
+    """Nulls, blank and long texts, repeated rows, clashing columns, and an empty table."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        assert out.columns[:5] == corpus_pipeline.COLUMNS
+        assert out.count() <= docs.count()
+        assert stage(spark, empty, data).count() == 0
+    redacted = {r.doc_id: r for r in corpus_pipeline.secrets(spark, docs, data).collect()}
+    assert "[SECRET]" in redacted[None].text or any("[SECRET]" in (r.text or "") for r in redacted.values())
+
+
+def test_repeated_rows_are_kept_apart(spark):
+    """Equal rows each count, but only one of them survives near-duplicate removal."""
+    twice = documents(spark, ["one two three four"] * 4 + ["other words stand here"], [1, 1, None, 2, 3])
+    assert op2_simhash.near_duplicates(twice).count() == 5
+    assert sorted(r.doc_id for r in op2_simhash.survivors(twice).collect()) == [1, 3]
+    assert op10_mix.mix_budgets(twice).count() == 5 and op6_quality.quality(twice, ["doc_id"]).count() == 5
+    assert op1_lm.score_texts(twice).count() == 5 and op3_license.scan(twice).count() == 5
