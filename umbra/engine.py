@@ -59,8 +59,9 @@ def shade_at(questions: DataFrame, skylines: DataFrame, city: City) -> DataFrame
 
 def timeline(questions: DataFrame, skylines: DataFrame, city: City, step_minutes: int = 5) -> DataFrame:
     """Runs of sun and shade of each local day: (id, state, shade_type, start, end, n) from (id, lat, lon, day)."""
-    sampled = shade.day_samples(_placed(questions, city), city.timezone, step_minutes)
-    judged = shade.verdict(shade.read_skyline(_sunlit(sampled, "ts").join(skylines.where("covered"), ["row", "col"]), city.sectors))
+    # Each place meets its skyline once; its samples are spread after that, inside the stage.
+    known = _placed(questions, city).join(skylines.where("covered"), ["row", "col"])
+    judged = shade.verdict(shade.read_skyline(_sunlit(shade.day_samples(known, city.timezone, step_minutes), "ts"), city.sectors))
     return shade.intervals(judged, ["id"], ["state", "shade_type"], step=f"INTERVAL {step_minutes} MINUTES", night=F.col("state") == "night")
 
 
