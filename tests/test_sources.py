@@ -154,6 +154,10 @@ def test_engine_on_a_cube(spark):
     zones = spark.createDataFrame([(z, 0, i, *lonlat["AB".index(z)]) for z in "AB" for i in (0, 1)], "zone string, line int, i int, lon double, lat double")
     parked = engine.parking_nearby(q.where("id = 'near-winter'"), zones, sky, city, 50.0).collect()
     assert [(r.zone, r.state, r.distance) for r in sorted(parked, key=lambda r: r.rank)] == [("A", "shade", 0.0), ("B", "sun", 30.0)]
+    until = {r.zone: r.shaded_until for r in parked}
+    assert until["B"] is None and until["A"] > dt.datetime(2026, 12, 21, 12, 20)
+    again = q.where("id = 'near-winter'").withColumn("at", F.lit(until["A"]))
+    assert engine.shade_at(again, sky, city).first().state != "shade"
 
 
 def test_engine_routes(spark):

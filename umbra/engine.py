@@ -7,7 +7,7 @@ land cover: row, col, q, q_felled, blocker, canopy, covered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.city import City
@@ -83,12 +83,21 @@ def parking_nearby(questions: DataFrame, zones: DataFrame, skylines: DataFrame,
     judged = shade.verdict(shade.read_skyline(met, city.sectors))
     told = judged.groupBy("id", "zone", "distance").agg(
         F.avg(F.when(F.col("q").isNotNull(), (F.col("state") == "shade").cast("double"))).alias("fraction"), F.bool_and(F.col("state") == "night").alias("night"))
-    from pyspark.sql import Window as W
-
     ranked = told.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "zone"))).where(F.col("rank") <= ZONE_LIMIT)
     lit = ~F.col("night") & F.col("fraction").isNotNull()
     state = F.when(F.col("fraction").isNull(), F.lit(None)).when(F.col("night"), "night").when(F.col("fraction") >= MAJORITY, "shade").otherwise("sun")
-    return ranked.select("id", "rank", "zone", F.bround("distance", 1).alias("distance"), state.alias("state"), F.when(lit, F.bround("fraction", 3)).alias("shade_fraction"))
+    answers = ranked.select("id", "rank", "zone", F.bround("distance", 1).alias("distance"), state.alias("state"), F.when(lit, F.bround("fraction", 3)).alias("shade_fraction"))
+    until = _zones_until(met, answers.where("state = 'shade'").select("id", "zone"), city)
+    return answers.join(until, ["id", "zone"], "left")
+
+
+def _zones_until(samples: DataFrame, shaded: DataFrame, city: City) -> DataFrame:
+    """(id, zone, shaded_until): the first later step of the local day at which a zone loses its majority or the sun sets."""
+    local = F.from_utc_timestamp("at", city.timezone).cast("date")
+    later = shade.day_samples(samples.join(shaded, ["id", "zone"], "left_semi").withColumn("day", local), city.timezone).where("ts > at")
+    judged = shade.verdict(shade.read_skyline(_sunlit(later, "ts"), city.sectors)).where("q is not null")
+    steps = judged.groupBy("id", "zone", "ts").agg(F.avg((F.col("state") == "shade").cast("double")).alias("fraction"), F.bool_and(F.col("state") == "night").alias("night"))
+    return steps.where(F.col("night") | (F.col("fraction") < MAJORITY)).groupBy("id", "zone").agg(F.min("ts").alias("shaded_until"))
 
 
 def shaded_routes(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vertices: DataFrame, alternatives: bool = False) -> DataFrame:
