@@ -76,7 +76,9 @@ def rasterise(polygons: DataFrame, grid: Grid, all_touched: bool = False) -> Dat
                 r, c = touched(grid, rings, all_touched)
                 yield pd.DataFrame({"row": r, "col": c, "id": p.id})
 
-    return polygons.select("id", "rings").mapInPandas(burn, "row int, col int, id long").groupBy("row", "col").agg(F.max("id").alias("id"))
+    # Burning is much work on little data: dealt out evenly, whatever the files were.
+    dealt = polygons.select("id", "rings").repartition(2 * polygons.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(burn, "row int, col int, id long").groupBy("row", "col").agg(F.max("id").alias("id"))
 
 
 def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:
