@@ -51,7 +51,7 @@ THRESHOLD = 1.5
 _WORD = r"[A-Za-z_][\w.-]*(?:\[[\"'][\w.-]+[\"']\])?"
 #: A name may carry a sigil (``$x``, ``@x``, ``${x}``) and be followed by its type (``x T =``, ``x As T =``).
 _PAIR = re.compile(
-    r"""(?:<([A-Za-z_][\w.-]*)>([^<>\n]{1,4096})</\1>)|"""
+    r"""(?:<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>)|"""
     r"""(?:(?<![\w.-])(?:(var|const|let|val|static|final|declare|[Dd]im|DECLARE)[ \t]+(?=[$@A-Za-z_]))?"""
     rf"""(?:(?<![\w.-])["'`]?[$@]*({_WORD})["'`]?|\$\{{([A-Za-z_]\w*)\}})"""
     r"""(?:[ \t]+(?:[Aa][Ss][ \t]+)?((?:\[\]|[*&])*[A-Za-z_][\w.-]*(?:\[\w*\]|\(\w+\))?["'`]?))?"""
