@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import brute
 import numpy as np
 import pytest
@@ -103,6 +105,25 @@ def test_licenses(spark, docs, empty):
     assert op3_license.scan(docs).count() == docs.count()
 
 
+def test_whole_licenses(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = {f: i for f, i in names.items() if (folder / f).exists()}
+    if not here:
+        pytest.skip("no licence texts on this machine")
+    texts = [(folder / f).read_text() for f in here]
+    rows = op3_license.scan(documents(spark, texts, [*range(len(texts))])).collect()
+    assert {r.doc_id: r.license_id for r in rows} == dict(enumerate(here.values()))
+
+
+def test_own_license_digests(spark):
+    own = spark.createDataFrame([("Our own terms,\nat length.", "Own-1.0"), ("Ask us.", "Own-1.0")], "text string, license_id string")
+    digests = own.select(op3_license.digest(op3_license.canonical(own.text)).alias("digest"), "license_id")
+    texts = ["Our own TERMS at length", "Prose.\nAsk us!", "MIT", op3_license.LICENSES["MIT"][0]]
+    got = {r.doc_id: r for r in op3_license.scan(documents(spark, texts, [1, 2, 3, 4]), digests=digests).collect()}
+    assert [got[i].license_id for i in (1, 2, 3, 4)] == ["Own-1.0", None, None, "MIT"] and got[2].notices == "Own-1.0"
+
+
 def test_classifier(spark, data, docs, empty):
     table = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")

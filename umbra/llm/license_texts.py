@@ -48,3 +48,71 @@ NOTICES = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
     "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
 }
+
+#: Canonical digests of longer published texts (made by op3_license from the texts themselves): as published, in the
+#: layout of the licence list where it differs, and without what follows the terms.
+DIGESTS = {
+    "Apache-2.0": [
+        "01bae72428daaa79c11a657b3ce6735f5b0057878a890789bcbb7db20083a61e",
+        "23c0498e738b86da84fa1ffb1ff43f4ef103f365367077ada18cd1db1813d6da",
+        "81e9b74a977a0320a7f1118705e033ed557f3f7d1e88cac937c574ad075941aa",
+        "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd",
+        "b0552a470b35ebc6a8191e79a1840fa5a6ae46978f1b8a1dbb6eb94002fbbeb2",
+        "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b",
+    ],
+    "Artistic-1.0-Perl": [
+        "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a",
+    ],
+    "CC-BY-SA-4.0": [
+        "def99b23ba8930a02c111ffb99c0c4f55f9fd9bb38ad3ffe9df58fde3aac4247",
+    ],
+    "CC0-1.0": [
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    ],
+    "GFDL-1.2": [
+        "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f",
+    ],
+    "GFDL-1.3": [
+        "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4",
+    ],
+    "GPL-1.0": [
+        "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
+        "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
+        "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    ],
+    "GPL-2.0": [
+        "031ce0347a7bfaa9fea9fb34dc0def0f70d366e9b6aeab50cf9537178d0d9d50",
+        "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",
+        "aa997bc1c3422ccdc7ccabdc6f9aaa9ce2ebeed7be208887d2b13ff901326c75",
+        "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+        "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c",
+        "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999",
+    ],
+    "GPL-3.0": [
+        "27c7d4a052cb5b68f1b41c3fa933ce9796ace78aeed0819833b4f8102a6eb47b",
+        "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349",
+        "607c705f9768e313af3bc7846c6815e61bce971f831a5fd61344a150e8f32b08",
+        "69a19fa00710a84d83ec8e9bb9b15c7f42c9598b02028ac43f385e2eb740206b",
+        "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee",
+        "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975",
+    ],
+    "LGPL-2.0": [
+        "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d",
+        "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513",
+        "a745f6517e6dd821b7e0352067dcf8f32789a02694b661bfad965280370e9b1a",
+    ],
+    "LGPL-2.1": [
+        "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e",
+        "4656c6936fdab5334aa4c4800c6a7881ffce24f3abb1f578c24da0bbb2735d0a",
+        "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61",
+    ],
+    "MPL-2.0": [
+        "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+    ],
+}

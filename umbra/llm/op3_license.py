@@ -6,8 +6,10 @@ hash join among the digests of known licence texts, which are made by the same
 expressions.  Both the entire text and each entire line (licence notices are lines of
 larger documents) are looked up.
 
-The table of known digests is fixed in this module (a few dozen rows), which is the size
-bound behind the broadcast; documents are read once and never shuffled with their text.
+The built-in digests (``license_texts``: short texts and notices in full, longer texts by
+digest) are a few dozen rows, which is the size bound behind the broadcast; ``scan`` takes
+a table of further digests, which is joined as its size asks.  Documents are read once and
+never shuffled with their text.
 
 Defined cases: a null or empty text has the digest of the empty text, which is no
 licence; repeated rows and null ids each keep a row; several notices are listed once
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import table
-from umbra.llm.license_texts import EQUIVALENT, LICENSES, NOTICES
+from umbra.llm.license_texts import DIGESTS, EQUIVALENT, LICENSES, NOTICES
 
 COPYRIGHT_LINE = r"(?m)^[^\n\p{L}\p{N}]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 FOLDED = r"[^\p{L}\p{N}\n]+"
@@ -41,21 +43,29 @@ def digest(canonical_: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license_id) of the fixed texts and notices."""
+    """(digest, license_id) of the fixed texts, digests and notices."""
     rows = [(k, t) for k, texts in (LICENSES | {}).items() for t in texts] + [(k, t) for k, texts in NOTICES.items() for t in texts]
     known = spark.createDataFrame(rows, "license_id string, text string")
-    return known.select(digest(canonical(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    longer = spark.createDataFrame([(d, k) for k, digests in DIGESTS.items() for d in digests], "digest string, license_id string")
+    return known.select(digest(canonical(F.col("text"))).alias("digest"), "license_id").unionAll(longer).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_sha256, license_id (entire text, or null), n_notices, notices."""
-    known = known_digests(docs.sparkSession)
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_sha256, license_id (entire text, or null), n_notices, notices.
+
+    ``digests`` (digest, license_id) are looked up besides the built-in ones; where both
+    hold a digest, theirs counts.  A digest is ``digest(canonical(text))`` of a licence text.
+    """
+    known, held = known_digests(docs.sparkSession), F.broadcast
+    if digests is not None:
+        own = digests.where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+        known, held = known.join(own, "digest", "left_anti").unionByName(own), lambda table: table
     base = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical(F.col(text_col)).alias("c"))
     # Inside a canonical line single spaces stand between words, so trimming completes it; an empty line is no notice.
     units = base.select("doc_id", "row", digest(F.col("c")).alias("text_sha256"), F.split("c", "\n").alias("lines"))
     units = units.select("doc_id", "row", "text_sha256", F.explode("lines").alias("line")).withColumn("line_sha256", F.sha2(F.trim("line"), 256))
-    lines = F.broadcast(known.select(F.col("digest").alias("line_sha256"), F.col("license_id").alias("notice")))
-    whole = F.broadcast(known.select(F.col("digest").alias("text_sha256"), "license_id"))
+    lines = held(known.select(F.col("digest").alias("line_sha256"), F.col("license_id").alias("notice")))
+    whole = held(known.select(F.col("digest").alias("text_sha256"), "license_id"))
     return (
         units.join(lines, "line_sha256", "left")
         .groupBy("row", "doc_id", "text_sha256").agg(F.array_sort(F.collect_set("notice")).alias("ids"))
