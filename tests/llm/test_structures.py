@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from umbra.llm.elias_fano import EliasFano, TrieLevel
+from umbra.llm.html_blocks import blocks
 from umbra.llm.op3_license import op3_license
 from umbra.llm.op8_decontaminate import op8_decontaminate
 from umbra.llm.tokens import slices, split_words
@@ -63,3 +64,25 @@ def test_slices_hold_every_row():
 def test_native_plans_have_no_python(spark, data, query):
     plan = query(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p>for <math><mi>x</mi><mo>=</mo><mn>1</mn></math> all</p><p>next</p>", ["for x=1 all", "next"]),
+    ("<p>see <svg viewBox='0 0 1 1'><g><path d='M0'/><text>A</text><text>B</text></g></svg> here</p><p>next</p>", ["see A B here", "next"]),
+    ("<p>film <object data='a.swf'>a fallback</object> or <canvas>a drawing</canvas>.</p>", ["film a fallback or a drawing ."]),
+    ("<template><p>held</p></template><p>next</p>", ["held", "next"]),
+    ("<p>one <svg><path d='M0'>two</p><p>three</p>", ["one two", "three"]),
+    ("<p>one<math><mi>x<p>two</p><p>three</p>", ["onex", "two", "three"]),
+    ("<p>one</p><object data='x'><p>two</p>", ["one", "two"]),
+    ("<p>one</p><noscript><p>two</p>", ["one", "two"]),
+    ("<p>one</p><script>var a = 1;<p>two</p>", ["one", "two"]),
+    ("<title>T</title><p>one<style>p{}</style> two</p><script>x</script>", ["one two"]),
+    ("<svg><foreignObject><div><p>in</p></div></foreignObject></svg><p>out</p>", ["in", "out"]),
+    ("<svg><title>icon</title><path d='M0'/></svg><p>out</p>", ["out"]),
+])
+def test_blocks_keep_foreign_and_fallback_text(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_open_raw_tags_are_linear():
+    assert blocks("<iframe>" * 100_000 + "end")[-1].text == "end"

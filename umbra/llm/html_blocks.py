@@ -13,9 +13,18 @@ from typing import NamedTuple
 #: Elements without content or end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title iframe object svg math canvas textarea".split())
+RAW = frozenset("script style noscript title iframe textarea".split())
+#: Of these, the ones whose content is code.
+CODE = frozenset({"script", "style"})
 #: Elements that do not end a block.
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark math q s samp small span strike strong sub sup svg time tt u var object canvas".split())
+#: Elements of another language: what is inside them ends no block, until one of ``BREAKOUT`` opens (which ends them).
+FOREIGN = frozenset({"svg", "math"})
+BREAKOUT = frozenset("blockquote body br center dd div dl dt embed h1 h2 h3 h4 h5 h6 head hr img li listing main menu meta ol p pre ruby section table article aside header footer nav form figure ul".split())
+#: Foreign elements that hold HTML.
+INTEGRATION = frozenset({"foreignobject"})
+#: Inline elements whose text stands apart from its surroundings.
+APART = frozenset("svg object canvas text tspan".split())
 #: Elements that an end tag of a smaller one does not close.
 SCOPE = frozenset("html body main article section aside nav header footer div table form ul ol dl td th blockquote figure".split())
 #: What an opening tag closes first, if it is open within its scope.
@@ -28,6 +37,7 @@ _TOKEN = re.compile(
     r"|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_NEXT_TAG = re.compile(r"</?[a-zA-Z]|<!--")
 _BODY_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
@@ -60,7 +70,7 @@ def blocks(page: str | None) -> list[Block]:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                found.append(Block(tuple(p for t, p in zip(tags, path, strict=True) if t not in INLINE), text, linked))
+                found.append(Block(tuple(p for t, p in zip(tags, path, strict=True) if t not in INLINE and p), text, linked))
             words.clear()
         linked = 0
 
@@ -74,6 +84,16 @@ def blocks(page: str | None) -> list[Block]:
                 return False
         return False
 
+    def foreign() -> bool:
+        """Inside svg or math, and not in HTML inside those."""
+        for t in reversed(tags):
+            if t in FOREIGN:
+                return True
+            if t in INTEGRATION:
+                return False
+        return False
+
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -87,8 +107,11 @@ def blocks(page: str | None) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        inside = not FOREIGN.isdisjoint(tags) and foreign()
+        if tag in APART and (inside or tag in INLINE):
+            words.append(" ")
         if m[1] or m[4]:
-            if tag not in INLINE:
+            if tag not in INLINE and not (inside and tag not in BREAKOUT and tag not in SCOPE):
                 flush()
             if tag in tags:
                 close({tag})
@@ -96,8 +119,22 @@ def blocks(page: str | None) -> list[Block]:
         attributes = m[3] or m[6] or ""
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
-                stop = _BODY_END[tag].search(page, at)
-                at = stop.end() if stop else end
+                stop = None if tag in endless else _BODY_END[tag].search(page, at)
+                if stop:
+                    at = stop.end()
+                else:  # only the tag goes, and code up to the next tag
+                    endless.add(tag)
+                    if tag in CODE:
+                        code = _NEXT_TAG.search(page, at)
+                        at = code.start() if code else end
+            continue
+        if inside and tag in BREAKOUT:
+            close(FOREIGN)
+            inside = False
+        if inside:
+            if not attributes.endswith("/"):
+                tags.append(tag)
+                path.append("")  # no part of the path
             continue
         if tag not in INLINE:
             flush()
