@@ -57,3 +57,20 @@ def test_machine_and_registry(spark, tmp_path):
     got = {r.city: (r.verdict, r.routes) for r in registry.registry(cities, built, graphs).collect()}
     assert got == {"a": ("serve", True), "b": ("abort", False), "c": ("serve", False), "d": ("skip", False)}
     assert registry.reconciled({"basemap_url": "x", "k": 1}, False) == {"k": 1}
+
+
+def test_horizon_sweep_runs_the_kernel(spark, data, monkeypatch):
+    """The query is the tile kernel, and its codes are those of the relational skyline."""
+    from pyspark.sql import functions as F
+
+    from umbra.functions import angles
+    from umbra.operators import horizon
+    from umbra.plans import queries
+
+    sky = horizon.angles(horizon.relational(queries._eye_cells(spark, data), queries.SECTORS16, queries.REACH, 1.0, 6))
+    code = lambda c: angles.quantise_angle(F.col(c)).cast("int")
+    want = sky.groupBy("row", "col").agg(F.sum(code("angle")), F.max(code("angle")), F.sum(code("angle_felled"))).collect()
+    monkeypatch.setattr(horizon, "relational", None)
+    got = queries.horizon_sweep(spark, data)
+    assert [f.dataType.simpleString() for f in got.schema][2:] == ["bigint", "int", "bigint"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))

@@ -145,10 +145,11 @@ def _code(v: str) -> str:
 
 @query(with_sql(f"SELECT row, col, sum({_code('slope')})::BIGINT AS q_sum, max({_code('slope')}) AS q_max, sum({_code('slope_felled')})::BIGINT AS q_felled_sum FROM sky GROUP BY row, col", "cells", extra=f"{_OFFSETS}, {_SKY}"))
 def horizon_sweep(spark, sf) -> DataFrame:
-    """The tile kernel, held against the relational skyline (single precision may move a code by one where it ties)."""
-    sky = horizon.angles(horizon.relational(_eye_cells(spark, sf), SECTORS16, REACH, 1.0, 6))
-    q = lambda c: angles.quantise_angle(F.col(c)).cast("int")
-    return sky.withColumn("q", q("angle")).withColumn("b", q("angle_felled")).groupBy("row", "col").agg(F.sum("q").alias("q_sum"), F.max("q").alias("q_max"), F.sum("b").alias("q_felled_sum"))
+    """The tile kernel, held against the relational skyline of the twin (single precision may move a code by one where it ties)."""
+    sky = horizon.sweep(_eye_cells(spark, sf), SECTORS16, REACH, 1.0, tile=16)
+    codes = lambda c: F.transform(c, lambda v: v.cast("int"))
+    total = lambda c: F.aggregate(codes(c), F.lit(0).cast("long"), lambda a, v: a + v)
+    return sky.select("row", "col", total("q").alias("q_sum"), F.array_max(codes("q")).alias("q_max"), total("q_felled").alias("q_felled_sum"))
 
 
 @query()
