@@ -139,6 +139,8 @@ def lexed_pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]
             pairs.append((name, pieces))
             if bind and len(pieces) <= 64:  # a constant made of more literals stays unresolved in later uses, its own pair stands
                 constants[name] = pieces
+            elif bind:
+                constants.pop(name, None)  # what it stood for before is no longer so
 
     typed_at = -1  # where the value of the last typed name stands
     while m := _PAIR.search(text, at):
