@@ -1,13 +1,13 @@
 """Secret scans by assignment-aware lexing, over a base of three plain patterns.
 
-The lexer reads source and configuration syntax into (name, literal) pairs: ``name = x``,
-``name: x``, ``name := x``, ``"name": "x"``, ``<name>x</name>``, also with sigils (``$name = x``)
-and types (``name: T = x``, ``name T = x``).  Literals are quoted strings (in backticks
-too, or on the next line) or bare values; ``+`` joins them.  A name bound once to a literal is a constant:
-a later right-hand side that mentions it stands for that literal, and the finding lies
-where the literal is written.  A pair is scored by how sensitive the target name is, plus
-the shape of the literal (length, mixed classes, entropy), less for placeholders; from
-``THRESHOLD`` on it is a finding of kind ``lex``.  Base findings always stay.
+The lexer (``assignments``) reads source and configuration syntax into names and what they
+are assigned: strings of any quote, bare values, block scalars, elements; with sigils and
+types; joined by ``+`` or standing side by side.  A name that stands in a value means its
+binding before, or else the first one after it; a later binding ends an earlier one, also
+when its value isn't known.  The finding lies where the literal is written.  A target is
+scored by how sensitive its name is, plus the shape of the joined literals (length, mixed
+classes, entropy), less for placeholders; from ``THRESHOLD`` on its literals are findings
+of kind ``lex``.  Base findings always stay.  Neither lengths nor parts have a limit.
 
 Every text is scanned alone and whole: one pass, no shuffle.
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.assignments import LIVE, Reader, Summary, Values
 from umbra.llm.common import table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,28 +49,6 @@ HARMLESS = {"length", "count", "url", "uri", "path", "file", "name", "type", "po
 PLACEHOLDER = re.compile(r"^(?:changeme|example|sample|dummy|test|todo|none|null|true|false|undefined|your[-_ ].*|x{4,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%)$", re.I | re.A)
 THRESHOLD = 1.5
 
-_WORD = r"[A-Za-z_][\w.-]*(?:\[[\"'][\w.-]+[\"']\])?"
-#: A name may carry a sigil (``$x``, ``@x``, ``${x}``) and be followed by its type (``x T =``, ``x As T =``).
-_PAIR = re.compile(
-    r"""(?:<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>)|"""
-    r"""(?:(?<![\w.-])(?:(var|const|let|val|static|final|declare|[Dd]im|DECLARE)[ \t]+(?=[$@A-Za-z_]))?"""
-    rf"""(?:(?<![\w.-])["'`]?[$@]*({_WORD})["'`]?|\$\{{([A-Za-z_]\w*)\}})"""
-    r"""(?:[ \t]+(?:[Aa][Ss][ \t]+)?((?:\[\]|[*&])*[A-Za-z_][\w.-]*(?:\[\w*\]|\(\w+\))?["'`]?))?"""
-    r"""[ \t]*(:=|=>|==?|:(?!//))[ \t]*(\\?\r?\n\s*)?(?:\(\s*(?=["'`]))?(?=["'`\w$@+/]|(?<=[: \t])[&*\[?]))""",
-    re.A,
-)
-#: The type of ``x: T = y``: one word, or a word and what its brackets or bars hold.
-_TYPED = re.compile(
-    r"""[ \t]*((?:[&*?\[\]]|'[a-z_]\w*[ \t]+|(?:mut|dyn|const|readonly|unsigned)[ \t]+)*+[A-Za-z_]\w*(?:(?:\.|::)\w+)*+(?:[ \t]*[<\[(|&?!*](?:[^=\n:;"`]|::)*+)?[ \t]*)"""
-    r"""=(?![=>~])[ \t]*(\\?\r?\n\s*)?(?:\(\s*(?=["'`]))?(?=["'`\w$@+/])""",
-    re.A,
-)
-_TYPES = re.compile(r"(?:std\.)?(?:w?string|str|n?(?:var)?char2?|text|bytes?|rune|any|object)\Z", re.I | re.A)
-_ATOM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`|([\w$+/=.@!%^&*~#-]+))""", re.A)
-_REFERENCE = re.compile(r"[ \t]*(?:[$@]+([A-Za-z_]\w*)|\$\{([A-Za-z_]\w*)\})", re.A)
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\.)[ \t]*(?:\\?\r?\n[ \t]*)?(?=[\"'`$@A-Za-z_])", re.A)
-_LINE_END = re.compile(r"[ \t]*(?:[;,]|\r?\n|\Z)")
-_NAME = re.compile(r"[A-Za-z_][\w.]*\Z", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -92,102 +71,32 @@ def name_score(name: str) -> float:
     return min(1.5, sum(SENSITIVE.get(p, 0.0) for p in set(parts)))
 
 
-def literal_score(value: str, quoted: bool) -> float:
-    if len(value) < LEAST_ASSIGNED or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def harmless(literal: str) -> bool:
+    return bool(PLACEHOLDER.match(literal))
+
+
+def literal_score(value: Summary) -> float:
+    counts = value.counts
+    n = sum(counts.values())
+    if n < LEAST_ASSIGNED or value.harmless or any(c.isspace() for c in counts):
         return -2.0
-    classes = sum(map(bool, (re.search("[a-z]", value), re.search("[A-Z]", value), re.search("[0-9]", value), re.search(r"[^A-Za-z0-9]", value))))
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return 0.3 * quoted + 0.25 * (classes - 1) + 0.15 * min(entropy, 4.0) + (0.1 if n >= 16 else 0.0)
-
-
-def _value(text: str, at: int, constants: dict[str, list], bare_from: str = "any") -> list[tuple[str, int, int, bool]]:
-    """The literals that the expression at ``at`` joins: (value, start, end, quoted).
-
-    ``bare_from``: which bare words may be literals; ``any``, ``line`` (those that end their line) or ``none``.
-    """
-    pieces: list[tuple[str, int, int, bool]] = []
-    while True:
-        if (r := _REFERENCE.match(text, at)) and (r[1] or r[2]) in constants:
-            pieces += constants[r[1] or r[2]]
-            end = r.end()
-        elif m := _ATOM.match(text, at):
-            i, end = m.lastindex, m.end()
-            if i == 4:
-                bare = m[4]
-                if bare in constants:
-                    pieces += constants[bare]
-                elif not pieces and bare_from != "none" and not (_NAME.match(bare) and text[end:end + 1] in "([") and (bare_from == "any" or "=" not in bare.rstrip("=") and _LINE_END.match(text, end)):
-                    pieces.append((bare, m.start(4), end, False))
-            else:
-                pieces.append((m[i], m.start(i), m.end(i), True))
-        else:
-            break
-        if not (plus := _PLUS.match(text, end)):
-            break
-        at = plus.end()
-    return pieces
-
-
-def lexed_pairs(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, literals) for every assignment, constants resolved in order of the text."""
-    constants: dict[str, list] = {}
-    pairs, at = [], 0
-
-    def pair(name: str, pieces: list[tuple[str, int, int, bool]], bind: bool = True) -> None:
-        if pieces:
-            pairs.append((name, pieces))
-            if bind and len(pieces) <= 64:  # a constant made of more literals stays unresolved in later uses, its own pair stands
-                constants[name] = pieces
-            elif bind:
-                constants.pop(name, None)  # what it stood for before is no longer so
-
-    typed_at = -1  # where the value of the last typed name stands
-    while m := _PAIR.search(text, at):
-        at = value_at = m.end()
-        if m[1]:
-            pair(m[1], [(m[2], m.start(2), m.end(2), True)])
-            continue
-        keyword, first, second, operator, broken = m[3], m[4] or m[5], m[6], m[7], m[8]
-        # The name stands before the operator; before it stands a type (T x =) or, as in Go and SQL, the name before its type (x T =).
-        names = [first]
-        if second:
-            word = second.strip("[]*&\"'`").split("[")[0].split("(")[0]
-            names = [word] if "(" not in second else []
-            if operator in ("=", ":=") and (keyword or _TYPES.match(word)):
-                names.append(first)
-        sigil = text[m.start(4) - 1:m.start(4)] == "$" if m[4] and not second else bool(m[5])
-        is_type = at == typed_at  # the type of the name before, unless names are spelled a:b
-        typed = _TYPED.match(text, m.end(7)) if operator == ":" else None
-        if typed:
-            kind = typed[1].rstrip()
-            spaced = kind != typed[1] or text[typed.end(1) + 1:typed.end(1) + 2] in ('"', "'", "`")
-            if spaced and (kind[-1] in "])>?!*&" or "|" in kind or not re.search(r"[\s,]", kind.split()[-1])):
-                if any(c.isdigit() for c in kind):  # rather a value than a type: both readings stand
-                    for name in names:
-                        pair(name, _value(text, m.end(), constants))
-                operator, broken, value_at = "=", typed[2], typed.end()
-                typed_at = value_at if text[m.end(7)].isspace() or _TYPES.match(kind) else -1
-        if text[value_at] in "&*[?":
-            continue
-        # After a sigil a bare word is code; on a new line it is a literal only where it ends that line.
-        bare_from = "none" if (sigil and operator != ":") or (broken and operator == ":") else "any" if not broken else "line" if broken[0] == "\\" or broken[-1] in " \t" else "none"
-        pieces = _value(text, value_at, constants, bare_from)
-        for name in names:
-            pair(name, pieces, not is_type)
-    return pairs
+    kinds = {"lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "other" for c in counts}
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return 0.3 * value.quoted + 0.25 * (len(kinds) - 1) + 0.15 * min(entropy, 4.0) + (0.1 if n >= 16 else 0.0)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not LIVE.search(text):
+        return []
+    bindings = Reader(text).bindings
+    targets = [(i, s) for i, b in enumerate(bindings) if b.parts and (s := name_score(b.name)) >= 0.5]
+    if not targets:
         return []
-    found = set()
-    for name, pieces in lexed_pairs(text):
-        sensitive = name_score(name)
-        if sensitive >= 0.5:
-            joined = "".join(p[0] for p in pieces)
-            if sensitive + literal_score(joined, pieces[0][3]) >= THRESHOLD:
-                found |= {(s, e, "lex") for _, s, e, _ in pieces if e > s}
+    values, found = Values(text, bindings, harmless), set()
+    for i, sensitive in targets:
+        value = values.summary(i)
+        if value and sensitive + literal_score(value) >= THRESHOLD:
+            found |= {(s, e, "lex") for s, e in values.spans(i)}
     return sorted(found)
 
 
