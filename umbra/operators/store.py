@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 def shared_dir(spark) -> str:
     """``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (one machine, as in tests) a temporary folder is made.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder
+    is made; on a cluster executors couldn't read it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(spark.sparkContext, "_umbra_store", None)
         if not path:
             path = tempfile.mkdtemp(prefix="umbra-store-")
