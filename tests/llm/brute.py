@@ -23,25 +23,69 @@ def simhash(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & MASK
+    return h ^ h >> 31
+
+
+def shingles(text, k=5):
+    w = BLANK.findall(lower(text))
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def wide_simhash(text, k=5, wide=8):
+    """The fingerprint as ``wide`` numbers of 64 bits."""
+    hashes = set()
+    for gram in shingles(text, k):
+        h = 0
+        for w in gram:
+            h = mixed((h + xxhash.xxh64(w.encode(), seed=42).intdigest()) & MASK)
+        hashes.add(h)
+    lanes = []
+    for lane in range(1, wide + 1):
+        own = [mixed((h + lane * 0x9E3779B97F4A7C15) & MASK) for h in hashes]
+        lanes.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own)))
+    return lanes
+
+
+def wide_components(rows, budget=82):
+    """[(doc_id, text)] -> [(doc_id, least doc_id reachable)]: an equal band of 16 bits, and few differing bits."""
+    prints = [wide_simhash(t) for _, t in rows]
+
+    def near(a, b):
+        different = [x ^ y for x, y in zip(a, b, strict=True)]
+        return sum(d.bit_count() for d in different) <= budget and any(d >> 16 * i & 0xFFFF == 0 for d in different for i in range(4))
+
+    return grouped([d for d, _ in rows], lambda i, j: near(prints[i], prints[j]))
+
+
 def simhash_components(rows, budget=3):
     """[(doc_id, fingerprint)] -> [(doc_id, component_id)] by comparing all pairs."""
-    label = list(range(len(rows)))
+    return grouped([d for d, _ in rows], lambda i, j: (rows[i][1] ^ rows[j][1]).bit_count() <= budget)
+
+
+def grouped(ids, linked):
+    label = list(range(len(ids)))
 
     def root(i):
         while label[i] != i:
             i = label[i]
         return i
 
-    for i in range(len(rows)):
+    for i in range(len(ids)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= budget:
+            if linked(i, j):
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
     least = {}
-    for i, (d, _) in enumerate(rows):
+    for i, d in enumerate(ids):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
-    return [(d, least.get(root(i))) for i, (d, _) in enumerate(rows)]
+    return [(d, least.get(root(i))) for i, d in enumerate(ids)]
 
 
 def base_secrets(text):

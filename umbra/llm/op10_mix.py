@@ -1,17 +1,22 @@
 """Mixing sources to target weights by hash-random keys and distributed prefix sums.
 
 Every document gets a pseudo-random key (MD5 of its id).  Within each source the
-documents are ranged by that key; prefix sums of their sizes say where the source's
+documents are ordered by that key; prefix sums of their sizes say where the source's
 word budget is cut.  A budget above the source's size repeats whole epochs first.
 
-Scale: the key space of every source is cut into equal buckets, so a source that
-holds a third of all rows is spread over as many tasks as there are buckets.  Offsets
-of buckets come from one small aggregate; only (id, size, key) is shuffled, never text.
+Scale: the key space of every source is cut into equal buckets, whose sizes come from one
+aggregate.  Their prefix sums tell in which bucket the budget ends: rows of the buckets
+before are taken whole, those of the buckets after not at all, and only the rows of that
+one bucket are ordered, by ranges over their whole sort key, so that rows which share an id
+don't meet in one task.  A row needs one line for its source, which is broadcast while
+sources are counted to be at most ``BROADCAST_SOURCES``; beyond, sources are dealt over
+salts.  Texts are not shuffled but for those of the buckets that are cut.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source
-of its own, ordered last; null and repeated ids are ordinary rows (repeated rows share
-a key and are ordered by size); a source of size 0 has target 0; an empty table gives
-an empty result.
+of its own, ordered last; null and repeated ids are ordinary rows (rows that share a key
+are ordered by id, size and the hash of the text, so reruns agree); a source of size 0 has
+target 0; an empty table gives an empty result.  Columns to keep come back in a struct of
+their own, so their names may be any.
 """
 
 from __future__ import annotations
@@ -20,10 +25,14 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.llm.common import WORD, cut, table
+from umbra.operators.numbering import numbered, running
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BUCKET_DIGITS = 3
+#: Lines that may be broadcast, one a source.
+BROADCAST_SOURCES = 100_000
+SOURCE = ["no_source", "src"]
 
 
 def sized(docs: DataFrame, bucket_digits: int = BUCKET_DIGITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -34,7 +43,8 @@ def sized(docs: DataFrame, bucket_digits: int = BUCKET_DIGITS, id_col: str = "do
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         key.alias("key"),
-        *(keep or []),
+        F.xxhash64(text_col).alias("tie"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
     ).withColumn("bucket", F.substring("key", 1, bucket_digits))
 
 
@@ -45,51 +55,53 @@ def targets(buckets: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     ``max_epochs`` sizes; what is above is shared again by weight.  In order of size per
     weight the capped sources are a prefix, so one pass of running sums finds them all.
     """
-    by_name = W.orderBy("no_source", "src")
-    fill = W.orderBy("per_weight", "no_source", "src")
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
+    turn = F.col("turn") % len(weights)
     weight = F.lit(weights[-1])
     for i, w in enumerate(weights[:-1]):
         weight = F.when(turn == i, w).otherwise(weight)
     sources = (
-        buckets.groupBy("no_source", "src").agg(F.sum("size").alias("source_size"))
+        numbered(buckets.groupBy(*SOURCE).agg(F.sum("size").alias("source_size")), SOURCE, "turn")
         .withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * max_epochs)
         .withColumn("per_weight", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(W.partitionBy(F.lit(1))))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(W.partitionBy(F.lit(1))) - F.coalesce(F.sum("weight").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("capped", F.col("per_weight") <= F.col("left") / F.col("left_weight"))
+        .select(*SOURCE, "source_size", "weight", "cap", "per_weight")
     )
+    order = ["per_weight", *SOURCE]
+    filled = running(sources, order, {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    total = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    share = (F.lit(total["size"] or 0) - F.col("cap_before")) / (F.lit(total["weight"] or 0) - F.col("weight_before"))
+    shared = filled.withColumn("share", share).withColumn("capped", F.col("per_weight") <= F.col("share"))
     # Where the first source stays below its cap, all that is left is shared by weight.
-    level = F.first(F.when(~F.col("capped"), F.col("left") / F.col("left_weight")), ignorenulls=True).over(fill.rowsBetween(W.unboundedPreceding, 0))
-    return sources.withColumn("level", level).select(
-        "no_source", "src", "source_size",
-        F.when(F.col("capped"), F.col("cap").cast("double"))
-        .otherwise(F.least(F.col("weight") * F.col("level"), F.col("cap").cast("double"))).alias("target"),
-    )
+    level = shared.where(~F.col("capped")).agg(F.min_by("share", F.struct(*order))).first()[0]
+    uncapped = F.least(F.col("weight") * F.lit(level).cast("double"), F.col("cap").cast("double"))
+    return shared.select(*SOURCE, "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(uncapped).alias("target"))
 
 
-def mix_budgets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_digits: int = BUCKET_DIGITS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and no_source, src, key, the columns ``keep``) for every row."""
+def mix_budgets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, bucket_digits: int = BUCKET_DIGITS, keep: list[str] | None = None, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and no_source, src, key, the struct ``kept``) for every row."""
     rows = cut(sized(docs, bucket_digits, keep=keep), "mix")
-    buckets = rows.groupBy("no_source", "src", "bucket").agg(F.sum("size").alias("size"))
-    before = W.partitionBy("no_source", "src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        buckets.join(targets(buckets, weights, max_epochs), ["no_source", "src"])
-        .withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .drop("size")
-    )
-    inside = W.partitionBy("no_source", "src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    budget = F.floor("target").cast("long")
-    epochs = F.expr("floor(target) div nullif(source_size, 0)")
-    return (
-        rows.join(offsets, ["no_source", "src", "bucket"])
-        .withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("epochs", F.coalesce(epochs, F.lit(0)))
-        .withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("start"))))
-    )
+    buckets = cut(rows.groupBy(*SOURCE, "bucket").agg(F.sum("size").alias("size")), "buckets")
+    whole = F.coalesce(F.expr("floor(target) div nullif(source_size, 0)"), F.lit(0))
+    budgets = targets(buckets, weights, max_epochs).withColumn("epochs", whole).withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    before = W.partitionBy(*SOURCE).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = buckets.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).join(budgets.select(*SOURCE, "rest"), SOURCE)
+    ends = placed.where(F.col("offset") + F.col("size") > F.col("rest")).groupBy(*SOURCE).agg(F.min(F.struct("bucket", "offset")).alias("end"))
+    lines = cut(budgets.join(ends, SOURCE, "left").select(*SOURCE, "source_size", "target", "epochs", "rest", F.col("end.bucket").alias("end_bucket"), F.col("end.offset").alias("end_offset")), "sources")
+    if lines.count() <= broadcast_sources:
+        joined = rows.join(F.broadcast(lines), SOURCE)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(255))).alias("salt")
+        joined = rows.withColumn("salt", F.pmod("tie", F.lit(256)).cast("int")).join(lines.select("*", salts), [*SOURCE, "salt"]).drop("salt")
+    extra = ["kept"] if keep else []
+    result = lambda took: ["doc_id", "size", *SOURCE, "key", "source_size", "target", (F.col("epochs") * F.col("size") + took).alias("taken"), *extra]
+    here = F.col("bucket") == F.col("end_bucket")
+    plain = joined.where(~F.coalesce(here, F.lit(False))).select(*result(F.when(F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")), F.col("size")).otherwise(0)))
+    ordered = running(joined.where(here), [*SOURCE, "key", "doc_id", "size", "tie"], {"at": F.col("size")})
+    start = F.col("end_offset") + F.col("at") - F.col("first_at")
+    firsts = ordered.groupBy(*SOURCE).agg(F.min("at").alias("first_at"))
+    firsts = F.broadcast(firsts) if lines.count() <= broadcast_sources else firsts
+    last = ordered.join(firsts, SOURCE).select(*result(F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))))
+    return plain.unionByName(last)
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ of 12), which keeps the join exact.  A subtree emits a spanning forest of its
 links, never all pairs.  Components are found by alternating large-star and small-star
 steps over those links, each written to the shared folder.
 
+``survivors`` is the same join over wider fingerprints, for near copies by five-word shingles:
+512 bits, 32 bands of 16, and a budget of 82.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other;
 repeated rows are copies; a null id is a row like others and names no component (a
 component of null ids alone has a null component_id); extra columns are not read.
@@ -30,10 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.common import cut, table
+from umbra.llm.tokens import slices, split_words
 
 SHINGLE = 3
 SEED = 42
 BUDGET = 3
+#: The pipeline's stage: five words, and a Hamming budget that stands for a Jaccard similarity of
+#: 0.8 on wide fingerprints.  At 0.8 a bit differs with probability 0.152 (78 of 512 bits).
+STAGE_SHINGLE, STAGE_WIDE, STAGE_BUDGET = 5, 8, 82
+#: Rows that may be broadcast: 8 bytes each, some 32 MB as a hash table.
+BROADCAST_ROWS = 1_000_000
+#: No key of a shuffled join holds more than this part of all rows.
+HOT = 64
+#: Groups and frontiers above this size look for whole classes first.
+LEADERS = 256
 SPLIT = 50_000
 #: Node pairs that one step of the traversal holds; more are taken in two halves.
 FRONTIER = 1 << 20
@@ -51,13 +64,50 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     counts, n = np.zeros(64, np.int64), len(words) - k + 1
-    for i in range(0, n, 65536):  # 64 bytes a shingle: 4 MB at a time
+    for i in range(0, n, 65536):
         j = min(n, i + 65536)
         hashes = np.array([digest(norm[s:e], SEED) for s, e in zip(starts[i:j].tolist(), ends[i + k - 1:j + k - 1].tolist(), strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_counts(hashes[:, None])
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of ``hashes`` (uint64, a column for every 64 bits) have each bit set."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), 255):  # what a byte can count
+        counts += np.unpackbits(hashes[i:i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return counts
+
+
+def wide_prints(texts: pa.Array, k: int, wide: int) -> np.ndarray:
+    """Fingerprints of 64 * ``wide`` bits over the distinct k-word shingles of each text, a row of longs a text."""
+    words = split_words(texts, lower_ascii=True)
+    named = np.fromiter((xxhash.xxh64_intdigest(w.encode(), SEED) for w in words.vocabulary.to_pylist()), np.uint64, len(words.vocabulary))
+    own = named[words.codes]
+    out = np.zeros((len(texts), wide), "<u8")
+    lanes = np.arange(1, wide + 1, dtype=np.uint64) * _STEP
+    for t, (start, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)):
+        if start == end:
+            continue
+        n = max(1, end - start - k + 1)
+        h = np.zeros(n, np.uint64)
+        for j in range(min(k, end - start)):
+            h = _mixed(h + own[start + j:start + j + n])
+        h = np.unique(h)
+        counts = sum(bit_counts(_mixed(h[i:i + 4080, None] + lanes)) for i in range(0, len(h), 4080))
+        out[t] = np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
+    return out
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, carry: list[str], k: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """The columns ``carry`` with ``fp``, the fingerprint as a signed long."""
     rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
@@ -74,44 +124,66 @@ def fingerprints(docs: DataFrame, carry: list[str], k: int = SHINGLE, text_col:
 def trie_links(prints: np.ndarray, groups: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER) -> tuple[np.ndarray, np.ndarray]:
     """(member, representative) indices: a spanning forest of the links inside each group.
 
-    ``prints`` (unsigned) are sorted within ``groups`` (bounds of each group) and distinct
-    there.  A trie node is a range of the sorted values; bit by bit the range falls into
-    its 0 and 1 child.
+    ``prints`` (unsigned, one column for every 64 bits) are sorted within ``groups`` (bounds
+    of each group).  A trie node is a range of the sorted values; bit by bit the range falls
+    into its 0 and 1 child.  Pairs of nodes that are one class already are left out.
     """
-    n = len(prints)
+    prints = prints if prints.ndim == 2 else prints[:, None]
+    n, bits = len(prints), 64 * prints.shape[1]
     label = np.arange(n)
     if n < 2:
         return label[:0], label[:0]
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= budget
+
     ones = {}  # per bit: how many of the first i values have it set
 
-    def set_below(bit: int) -> np.ndarray:
-        if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum((prints >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        return ones[bit]
+    def set_below(depth: int) -> np.ndarray:
+        if depth not in ones:
+            bit = (prints[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+            ones[depth] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+        return ones[depth]
 
     lo, hi = groups[:-1], groups[1:]
+    for s, e in zip(lo[hi - lo > LEADERS].tolist(), hi[hi - lo > LEADERS].tolist(), strict=True):
+        own = np.arange(s, e)
+        for leader in np.linspace(s, e - 1, 8).astype(np.int64).tolist():  # a few stars first: most of a large class is then known
+            star = own[near(np.full(e - s, leader), own)]
+            _union(label, np.full(len(star), leader), star)
     more = hi - lo > 1
     pairs = np.stack([lo[more], hi[more], lo[more], hi[more], np.zeros(more.sum(), np.int64)])
-    todo = [(63, pairs)]
+    todo = [(0, pairs)]
     while todo:
-        bit, pairs = todo.pop()
+        depth, pairs = todo.pop()
         alone = (pairs[1] - pairs[0] == 1) & (pairs[3] - pairs[2] == 1)
         if alone.any():
             a, b = pairs[0][alone], pairs[2][alone]
-            near = (np.bitwise_count(prints[a] ^ prints[b]) <= budget) & (a != b)
-            _union(label, a[near], b[near])
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            linked = near(a, b)
+            _union(label, a[linked], b[linked])
             pairs = pairs[:, ~alone]
-        if bit < 0 or not pairs.shape[1]:
+        if depth == bits:
+            if pairs.shape[1]:  # equal values, within the budget of each other
+                _union(label, np.repeat(pairs[0], pairs[1] - pairs[0]), _ranges(pairs[0], pairs[1]))
+                _union(label, np.repeat(pairs[2], pairs[3] - pairs[2]), _ranges(pairs[2], pairs[3]))
+                _union(label, pairs[0], pairs[2])
+            continue
+        if pairs.shape[1] > LEADERS:
+            change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+            one = (change[pairs[1] - 1] == change[pairs[0]]) & (change[pairs[3] - 1] == change[pairs[2]]) & (label[pairs[0]] == label[pairs[2]])
+            pairs = pairs[:, ~one]
+        if not pairs.shape[1]:
             continue
         if pairs.shape[1] > frontier:
             half = pairs.shape[1] // 2
-            todo += [(bit, pairs[:, half:]), (bit, pairs[:, :half])]
+            todo += [(depth, pairs[:, half:]), (depth, pairs[:, :half])]
             continue
-        below = set_below(bit)
+        below = set_below(depth)
         alo, ahi, blo, bhi, cost = pairs
         amid, bmid = ahi - (below[ahi] - below[alo]), bhi - (below[bhi] - below[blo])
-        same = alo == blo
-        other = ~same
+        other = alo != blo
         children = np.concatenate([
             np.stack([alo, amid, blo, bmid, cost]),
             np.stack([amid, ahi, bmid, bhi, cost]),
@@ -120,11 +192,16 @@ def trie_links(prints: np.ndarray, groups: np.ndarray, budget: int = BUDGET, fro
         ], axis=1)
         size_a, size_b = children[1] - children[0], children[3] - children[2]
         live = (size_a > 0) & (size_b > 0) & (children[4] <= budget) & ((children[0] != children[2]) | (size_a > 1))
-        todo.append((bit - 1, children[:, live]))
+        todo.append((depth + 1, children[:, live]))
     member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    size = hi - lo
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - lo, size)
+
+
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the classes of a[i] and b[i]; every label is the least index of its class."""
     while len(a):
@@ -151,39 +228,58 @@ def links(prints: DataFrame, split: int = SPLIT) -> DataFrame:
     large = bands.groupBy("band", "value").count().where(F.col("count") > split).select("band", "value", F.lit(True).alias("large"))
     keyed = bands.join(large, ["band", "value"], "left").withColumn("rest", low.bitwiseOR(high))
     subs = F.when(F.col("large"), F.array(*[F.struct(F.lit(i).alias("s"), v.alias("v")) for i, v in enumerate(sub(F.col("rest"), 12))])).otherwise(F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("v"))))
-    keyed = keyed.select("fp", "band", "value", F.explode(subs).alias("x")).select("fp", "band", "value", "x.s", "x.v")
-    grouped = keyed.repartition("band", "value", "s", "v").sortWithinPartitions("band", "value", "s", "v", F.shiftrightunsigned("fp", 1), F.col("fp").bitwiseAND(F.lit(1)))
+    keyed = keyed.select("fp", "band", "value", F.explode(subs).alias("x")).select(F.col("fp").alias("node"), F.expr("unhex(lpad(hex(fp), 16, '0'))").alias("fp"), "band", "value", "x.s", "x.v")
+    return _solved(keyed, ["band", "value", "s", "v"], BUDGET)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # rows of the last group, which may go on in the next batch
 
-        def solve(rows: np.ndarray) -> pa.RecordBatch:
-            keys = (rows[1:, 1:] != rows[:-1, 1:]).any(axis=1)
-            bounds = np.concatenate([[0], np.flatnonzero(keys) + 1, [len(rows)]])
-            values = np.ascontiguousarray(rows[:, 0]).view(np.uint64)
-            member, root = trie_links(values, bounds)
-            return pa.RecordBatch.from_arrays([pa.array(rows[member, 0]), pa.array(rows[root, 0])], names=["a", "b"])
+def wide_links(nodes: DataFrame, budget: int, wide: int) -> DataFrame:
+    """(a, b): links between the nodes (node, fp as 8 * ``wide`` bytes) that connect every pair
+    whose fingerprints have an equal band of 16 bits and differ in ``budget`` bits at most."""
+    bands = F.transform(F.sequence(F.lit(1), F.lit(8 * wide - 1), F.lit(2)), lambda i: F.conv(F.hex(F.substring("fp", i, F.lit(2))), 16, 10).cast("int"))
+    return _solved(nodes.select("node", "fp", F.posexplode(bands).alias("band", "value")), ["band", "value"], budget)
+
+
+def _solved(keyed: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """(a, b): the links inside each group of rows (node, fp as big-endian bytes, keys)."""
+    grouped = keyed.select("node", "fp", *keys).repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []  # rows of the last group, which may go on in the next batch
+
+        def solve(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            nodes, prints, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+            group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+            size = np.bincount(group)
+            many = size[group] > 1
+            nodes, prints, group = nodes[many], prints[many], group[many]
+            order = np.lexsort((*prints.T[::-1], group))
+            nodes, prints, group = nodes[order], prints[order], group[order]
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(nodes)]])
+            member, root = trie_links(prints, bounds, budget)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[member]), pa.array(nodes[root])], names=["a", "b"])
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            whole = np.flatnonzero((rows != rows[-1])[:, 1:].any(axis=1))
-            last = whole[-1] + 1 if len(whole) else 0
+            prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").reshape(batch.num_rows, -1).astype(np.uint64)
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            key = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:]], axis=1)
+            other = np.flatnonzero((key != key[-1]).any(axis=1))
+            last = other[-1] + 1 if len(other) else 0
             if last:
-                yield solve(np.concatenate([*kept, rows[:last]]))
+                yield solve([*kept, (nodes[:last], prints[:last], key[:last])])
                 kept = []
-            elif kept and (kept[0][0, 1:] != rows[0, 1:]).any():
-                yield solve(np.concatenate(kept))
+            elif kept and (kept[0][2][0] != key[0]).any():
+                yield solve(kept)
                 kept = []
-            kept.append(rows[last:])
+            kept.append((nodes[last:], prints[last:], key[last:]))
         if kept:
-            yield solve(np.concatenate(kept))
+            yield solve(kept)
 
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root: the least node.
 
     Large-star: the neighbours above a node are joined to the least of its surroundings;
@@ -192,7 +288,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:  # a step that changes nothing is the last; stars halve what is unsettled
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -203,42 +299,50 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def grouped_prints(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp)."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(links(nodes)).select(F.col("node").alias("fp"), "root")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row."""
+    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], k), "docprints")
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
+    roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    found = cut(rooted.join(ids, "root").select("fp", "component_id", "n"), "classes")
+    # Fingerprints that hold more than a HOT-th of all rows: fewer than HOT of them, so they are broadcast, and no other key is hot.
+    hot = F.broadcast(found.where(F.col("n") * HOT > prints.count()).select("fp", "component_id"))
+    named = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(found.select("fp", "component_id"), "fp"))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row."""
-    prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], k), "docprints")
-    hex_ = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(grouped_prints(prints), "fp").select("doc_id", hex_.alias("fingerprint"), "component_id")
-
-
-def survivors(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One document of each component (the least id; of equal ids one row), all columns."""
-    fields = docs.columns
-    row, doc = "_umbra_row", F.struct(*[F.col(c) for c in fields]).alias("doc")
-    nested = docs.select(doc, F.col("text").alias("_umbra_text"), F.monotonically_increasing_id().alias(row))
-    marked = cut(fingerprints(nested, ["doc", row], k, "_umbra_text"), "marked")
-    slim = marked.select(F.col("doc.doc_id").alias("doc_id"), "fp", row)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
-    kept = slim.join(_classes(slim), "fp").groupBy("root").agg(first.alias("x")).select(f"x.{row}")
-    return marked.join(kept, row, "left_semi").select("doc.*")
-
-
-def _classes(prints: DataFrame) -> DataFrame:
-    """(fp, root) for each distinct fingerprint."""
-    nodes = cut(prints.select("fp").distinct(), "prints")
-    roots = components(links(nodes)).select(F.col("node").alias("fp"), "root")
-    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def survivors(docs: DataFrame, k: int = STAGE_SHINGLE, wide: int = STAGE_WIDE, budget: int = STAGE_BUDGET) -> DataFrame:
+    """One document of each group of near copies (the least id; of equal ids one row), all columns.
+
+    Near copies: fingerprints of 64 * ``wide`` bits over the distinct k-word shingles share an
+    equal band of 16 bits and differ in ``budget`` bits at most.  Texts are not shuffled while
+    the rows to drop are few enough to broadcast (``BROADCAST_ROWS``, counted).
+
+    Null ids come last; null and blank texts are copies of each other; an empty table stays
+    empty; the columns may have any names but those starting with ``_umbra``.
+    """
+    fields, row = docs.columns, "_umbra_row"
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("doc"), F.col("text").alias("_umbra_text"), F.monotonically_increasing_id().alias(row))
+    schema = f"doc {nested.schema['doc'].dataType.simpleString()}, {row} long, fp binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_umbra_text"):
+                prints = wide_prints(batch.column("_umbra_text"), k, wide).astype(">u8")
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column(row), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc", row, "fp"])
+
+    marked = cut(nested.mapInArrow(run, schema), "marked")
+    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col(row).alias("row"))).alias("first")
+    nodes = cut(marked.groupBy("fp").agg(first).withColumn("node", F.col("first.row")), "prints")
+    roots = components(wide_links(nodes.select("node", "fp"), budget, wide))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    dropped = cut(marked.select(row).join(kept, row, "left_anti"), "dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select("doc.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -7,36 +7,48 @@ rendered segment, where it lies in the rendered dialogue (code points, end exclu
 and the span the loss mask covers.  Joining the segments of a perspective in order gives
 the training text; no conversation is ever held by one task.
 
-Scale: turns are cut into blocks of ``BLOCK`` turn numbers.  Segment lengths are summed
-per (conversation, block, speaker) first; offsets of blocks come from that aggregate, and
-only the turns of one block meet in a window.  A conversation with a third of all rows is
-spread over its blocks.
+Scale: all rows are numbered in order of conversation and turn (by ranges), and blocks are
+``BLOCK`` numbers wide.  Segment lengths are summed per (conversation, block, speaker) first;
+offsets of blocks come from that aggregate, and only the turns of one block meet in a
+window.  A conversation with a third of all rows, or one whose turns are all null or equal,
+is spread over its blocks.
 
 Defined cases: a null or empty text renders as an empty message; a null role is the
 speaker ``?``; a null turn comes first; equal turns are ordered by role and text, and
-repeated rows are all kept; a null conversation id is a conversation of its own.  Roles
-in ``CONTEXT`` (``system``) set the scene: rendered as such, never as a perspective.
+repeated rows are all kept; a null conversation id is a conversation of its own; ids may be
+of any type.  Roles in ``CONTEXT`` (``system``) set the scene: rendered as such, never as a
+perspective.  Control marks in names and texts are escaped (``<|`` as ``<\\|``, ``|>`` as
+``|\\>``), and line ends in names are spaces, so nobody can write another's message.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.llm.common import table
+from umbra.operators.numbering import numbered
 
 BLOCK = 1024
+ORDER = ["no_conv", "conv", "at", "speaker", "body"]
 CONTEXT = ("system",)
 
 
+def escaped(text: Column) -> Column:
+    """Without control marks: names and texts can't end a message or begin one."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+
+
 def perspectives(turns: DataFrame, block: int = BLOCK, context: tuple[str, ...] = CONTEXT) -> DataFrame:
     rows = turns.select(
-        F.col("conv_id").isNull().alias("no_conv"), F.coalesce(F.col("conv_id"), F.lit(0)).alias("conv"), "conv_id",
+        F.col("conv_id").isNull().alias("no_conv"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "conv_id",
         F.coalesce("turn", F.lit(-(2**62))).alias("at"), "turn",
-        F.coalesce("role", F.lit("?")).alias("speaker"), F.coalesce("text", F.lit("")).alias("body"),
-    ).withColumn("block", F.floor(F.col("at") / block))
+        F.coalesce("role", F.lit("?")).alias("speaker"), escaped(F.coalesce("text", F.lit(""))).alias("body"),
+    )
+    rows = numbered(rows, ORDER, "n").withColumn("block", F.floor(F.col("n") / block))
     scene = F.col("speaker").isin(*context)
-    plain = F.when(scene, F.concat(F.lit("<|"), "speaker", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+    name = F.translate(escaped(F.col("speaker")), "\r\n", "  ")
+    plain = F.when(scene, F.concat(F.lit("<|"), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
     own = F.lit("<|assistant|>\n")
     close = F.lit("\n<|end|>\n")
     rows = rows.withColumn("n_body", F.length("body")).withColumn("n_plain", F.length(plain)).withColumn("scene", scene)
@@ -51,7 +63,7 @@ def perspectives(turns: DataFrame, block: int = BLOCK, context: tuple[str, ...]
         .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
         .drop("length")
     )
-    inside = W.partitionBy("no_conv", "conv", "assistant", "block").orderBy("at", "speaker", "body").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("no_conv", "conv", "assistant", "block").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     return (
         rows.join(offsets, ["no_conv", "conv", "block"])
         .withColumn("head", F.when(mine, own).otherwise(plain))
@@ -71,11 +83,13 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(turn, -4611686018427387904) AS pos, coalesce(role, '?') AS speaker, coalesce(text, '') AS body FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(turn, -4611686018427387904) AS pos, coalesce(role, '?') AS speaker,
+         translate(replace(replace(coalesce(role, '?'), '<|', '<\|'), '|>', '|\>'), chr(13) || chr(10), '  ') AS name,
+         replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS body FROM conversations),
 seats AS (SELECT DISTINCT conv_id, speaker AS assistant FROM t WHERE speaker <> 'system'),
 s AS (
   SELECT t.*, assistant, speaker = assistant AS mine,
-         CASE WHEN speaker = assistant THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+         CASE WHEN speaker = assistant THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || name || '|>' || chr(10) END AS head
   FROM t JOIN seats ON t.conv_id IS NOT DISTINCT FROM seats.conv_id),
 r AS (SELECT *, head || body || chr(10) || '<|end|>' || chr(10) AS segment FROM s),
 p AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, assistant ORDER BY pos, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r)

@@ -7,9 +7,9 @@ projection, and only the few windows that pass are exploded, compared word for w
 with the benchmark's windows (an exact hash join) and counted.  Text is not shuffled;
 only verified hits are grouped by document.
 
-The bitmap is a literal of fixed size (``BITMAP_BITS``), whatever the benchmark holds;
-it only screens.  The table of windows is broadcast when its counted size is at most
-``BROADCAST_WINDOWS``; beyond that the hits meet it in a shuffled join.
+The bitmap is a literal of 64 bits a window, two of them set, within ``BITMAP_BITS``; it
+only screens.  The table of windows is broadcast when its measured size is at most
+``BROADCAST_BYTES``; beyond that the hits meet it in a shuffled join.
 
 Defined cases: null or empty texts have no words and no hits; items without words are
 ignored, and an empty benchmark hits nothing; documents with a null id, and repeated ids
@@ -19,15 +19,19 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import table
+from umbra.llm.common import cut, table
 
 WINDOW = 10
-#: Bits of the screening bitmap: 2**20 bits are 16384 longs, 128 KB in the plan.
-BITMAP_BITS = 20
-BROADCAST_WINDOWS = 200_000
+#: Least and most bits of a screening bitmap, as powers of two: 8 KB to 2 MB in the plan.
+BITMAP_BITS = (16, 24)
+BROADCAST_BYTES = 32 << 20
+#: Digests of contaminated texts that may be broadcast.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words, before lowering: A-Z belong to words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,7 +52,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), words(lowered(F.col(text_col))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     grams = rows.select("item", F.least(F.size("w"), F.lit(n)).alias("n_words"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("gram"))
-    return grams.groupBy("gram", "n_words").agg(F.collect_set("item").alias("items"))
+    return grams.groupBy("gram", "n_words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def window_hash(hashes: str, at: Column, n: int) -> Column:
@@ -60,9 +64,18 @@ def screen_hash(grams: DataFrame, n: int) -> DataFrame:
     return h.select(window_hash("h", F.lit(0), n).alias("hash"))
 
 
-def bitmap(grams: DataFrame, n: int, bits: int = BITMAP_BITS) -> list[int]:
+def bitmap_bits(windows: int) -> int:
+    return min(max(math.ceil(math.log2(64 * max(windows, 1))), BITMAP_BITS[0]), BITMAP_BITS[1])
+
+
+def probes(hash_: Column, bits: int) -> tuple[Column, Column]:
+    """Two places of a hash in the bitmap, from its upper and its lower bits."""
+    return F.shiftrightunsigned(hash_, 64 - bits), hash_.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def bitmap(grams: DataFrame, n: int, bits: int) -> list[int]:
     """2**bits bits as longs; at most 2**(bits-6) rows reach the driver."""
-    slots = screen_hash(grams, n).select(F.shiftrightunsigned("hash", 64 - bits).alias("slot"))
+    slots = screen_hash(grams, n).select(F.explode(F.array(*probes(F.col("hash"), bits))).alias("slot"))
     rows = (
         slots.select(F.shiftright("slot", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
         .groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
@@ -80,8 +93,8 @@ def long_array(values: list[int]) -> Column:
 
 
 def passes(bits_: Column, hash_: Column, bits: int) -> Column:
-    at = F.shiftrightunsigned(hash_, 64 - bits + 6).cast("int")
-    return F.getbit(F.get(bits_, at), F.shiftrightunsigned(hash_, 64 - bits).bitwiseAND(F.lit(63)).cast("int")) == 1
+    upper, lower = (F.getbit(F.get(bits_, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in probes(hash_, bits))
+    return upper & lower
 
 
 def screened_windows(bits_: Column, n: int, bits: int) -> Column:
@@ -92,10 +105,11 @@ def screened_windows(bits_: Column, n: int, bits: int) -> Column:
     return F.transform(at, lambda i: F.struct(i.cast("int").alias("at"), F.lit(n).alias("n"), gram(i).alias("gram")))
 
 
-def verified_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW, bits: int = BITMAP_BITS) -> DataFrame:
+def verified_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW) -> DataFrame:
     """The columns ``keep`` of every row with n_words, n_hit and its items (sorted ids as strings)."""
     grams = benchmark_windows(benchmark, n).cache()
-    sizes = {r["n_words"]: r["count"] for r in grams.groupBy("n_words").count().collect()}  # at most n rows
+    weight = F.sum(F.octet_length("gram") + F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + F.octet_length(i) + 32) + 64)
+    sizes = {r["n_words"]: r for r in grams.groupBy("n_words").agg(F.count("*").alias("windows"), weight.alias("bytes")).collect()}  # at most n rows
     base = (
         docs.select(*keep, words(F.col("text")).alias("w"))
         .withColumn("h", F.transform("w", lambda w: F.xxhash64(F.lower(w))))
@@ -103,12 +117,13 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int
     hit = "array<struct<at:int,n:int,gram:string>>"
     found = F.array().cast(hit)
     for size in sorted(sizes):
+        bits = bitmap_bits(sizes[size]["windows"])
         rows = screened_windows(long_array(bitmap(grams, size, bits)), size, bits)
         found = F.concat(found, F.when(F.size("w") >= size, rows).otherwise(F.array().cast(hit)))
     screened = base.select(*keep, F.monotonically_increasing_id().alias("row"), F.size("w").cast("long").alias("n_words"), found.alias("found"))
     spread = screened.select(*keep, "row", "n_words", F.explode_outer("found").alias("x")).select(*keep, "row", "n_words", "x.at", "x.n", "x.gram")
     table_ = grams.select("gram", "items")
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
+    if sum(r["bytes"] for r in sizes.values()) <= BROADCAST_BYTES:
         table_ = F.broadcast(table_)
     span = F.when(F.col("items").isNotNull(), F.sequence("at", F.col("at") + F.col("n") - 1))
     return (
@@ -126,13 +141,21 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents that hold no benchmark window, unchanged.
 
-    The verdict belongs to the text, so contaminated texts are known by digest and the
-    documents meet that (small) set in an anti join.
+    The verdict belongs to the text, so contaminated texts are known by digest.  Counted few
+    enough, the digests are broadcast and no text is shuffled; beyond, the documents meet
+    them in a shuffled anti join, in which texts without words (never contaminated) have a
+    key each.  Null and empty texts, null ids and repeated rows stay; columns may have any
+    names but those starting with ``_umbra``.
     """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    bad = verified_hits(docs.select("text", digest.alias("digest")), benchmark, ["digest"], n).where("n_hit > 0").select("digest").distinct()
-    marked = docs.withColumn("_umbra_digest", digest)
-    return marked.join(bad, marked["_umbra_digest"] == bad["digest"], "left_anti").drop("_umbra_digest")
+    mark = "_umbra_digest"
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    found = verified_hits(docs.select("text", digest.alias(mark)), benchmark, [mark], n)
+    bad = cut(found.where("n_hit > 0").select(mark).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        return docs.withColumn(mark, digest).join(F.broadcast(bad), mark, "left_anti").drop(mark)
+    blank = F.coalesce(F.length("text"), F.lit(0)) == 0
+    key = F.when(blank, F.monotonically_increasing_id().cast("string")).otherwise(digest)
+    return docs.withColumn(mark, key).join(bad, mark, "left_anti").drop(mark)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
