@@ -327,7 +327,7 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
 def test_html(spark):
     pages, labels = op9_html.training_pages(120, 4711)
     model = op9_html.trained()
-    p = [model.run(op9_html.vectors([x]))[0] for x in pages]
+    p = [model.probabilities(op9_html.Features([x])) for x in pages]
     assert np.mean(np.concatenate([(a >= 0.5) == b for a, b in zip(p, labels, strict=True)])) > 0.99
     html = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Head &amp; tail</h1><p>One <b>two</b>three.<br>four<p>Fünf&nbsp;six &lt;x&gt;.<script>var a="</p>";</script></p></article><section class="comments"><div class="comment"><p>First!</p></div></section><footer>&copy; us</footer></body></html>'
     schema = "page_id long, url string, html string, text string"

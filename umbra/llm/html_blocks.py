@@ -2,12 +2,16 @@
 
 A tolerant single-pass reader: it follows open elements, closes what HTML closes
 implicitly, skips markup that is never text, and ends a block at every block-level tag.
+Paths are shared: a block points at its innermost element, which points at the one around
+it, and equal paths are one object.  What is open is counted by name and by scope, so time
+and memory grow with the page, however long or deep it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements without content or end tag.
@@ -41,8 +45,24 @@ _NEXT_TAG = re.compile(r"</?[a-zA-Z]|<!--")
 _BODY_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
+class Element:
+    """An open element that makes blocks: its tokens, and the element around it (None: the page)."""
+
+    __slots__ = ("parent", "tokens", "inner", "mask")
+
+    def __init__(self, parent: Element | None, tokens: str):
+        self.parent, self.tokens = parent, tokens
+        self.inner: dict[str, Element] = {}
+        self.mask: int | None = None  #: for readers of paths
+
+    def child(self, tokens: str) -> Element:
+        if tokens not in self.inner:
+            self.inner[tokens] = Element(self, tokens)
+        return self.inner[tokens]
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  #: tokens of each open element that makes blocks, outermost first
+    path: Element  #: the innermost open element
     text: str  #: references decoded, white space single
     linked: int  #: characters inside links
 
@@ -57,11 +77,56 @@ def _tokens(tag: str, attributes: str) -> str:
     return " ".join(names)
 
 
+class _Open:
+    """The open elements: a stack, with counts that tell what it holds without a walk."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.elements = [Element(None, "")]  # for each open element the innermost one that makes blocks
+        self.counts: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]  # the same, since each open scope
+        self.foreign: list[tuple[int, bool]] = []  # places of svg and math (True) and of HTML in those
+
+    def push(self, tag: str, element: Element) -> None:
+        if tag in FOREIGN or tag in INTEGRATION:
+            self.foreign.append((len(self.tags), tag in FOREIGN))
+        self.tags.append(tag)
+        self.elements.append(element)
+        self.counts[tag] += 1
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        else:
+            self.scopes[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.elements.pop()
+        self.counts[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        if self.foreign and self.foreign[-1][0] == len(self.tags):
+            self.foreign.pop()
+        return tag
+
+    def close(self, names: set[str] | frozenset[str]) -> None:
+        """Close the innermost open element of these names, unless a wider one is between."""
+        held = self.counts if names & SCOPE else self.scopes[-1]
+        if any(held[name] for name in names):
+            while self.pop() not in names:
+                pass
+
+    @property
+    def in_foreign(self) -> bool:
+        """Inside svg or math, and not in HTML inside those."""
+        return bool(self.foreign) and self.foreign[-1][1]
+
+
 def blocks(page: str | None) -> list[Block]:
     page = page or ""
     found: list[Block] = []
-    tags: list[str] = []
-    path: list[str] = []
+    open_ = _Open()
     words: list[str] = []
     linked = 0
 
@@ -70,29 +135,10 @@ def blocks(page: str | None) -> list[Block]:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                found.append(Block(tuple(p for t, p in zip(tags, path, strict=True) if t not in INLINE and p), text, linked))
+                found.append(Block(open_.elements[-1], text, linked))
             words.clear()
         linked = 0
 
-    def close(names: set[str] | frozenset[str]) -> bool:
-        """Close the innermost open element of these names, unless a wider one is between."""
-        for i in range(len(tags) - 1, -1, -1):
-            if tags[i] in names:
-                del tags[i:], path[i:]
-                return True
-            if tags[i] in SCOPE and not names & SCOPE:
-                return False
-        return False
-
-    def foreign() -> bool:
-        """Inside svg or math, and not in HTML inside those."""
-        for t in reversed(tags):
-            if t in FOREIGN:
-                return True
-            if t in INTEGRATION:
-                return False
-        return False
-
     endless: set[str] = set()  # raw elements without an end tag in the rest of the page
     at, end = 0, len(page)
     while at < end:
@@ -101,20 +147,19 @@ def blocks(page: str | None) -> list[Block]:
         if m[7]:
             text = html.unescape(m[7]) if "&" in m[7] else m[7]
             words.append(text)
-            if "a" in tags:
+            if open_.counts["a"]:
                 linked += len(text)
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        inside = not FOREIGN.isdisjoint(tags) and foreign()
+        inside = open_.in_foreign
         if tag in APART and (inside or tag in INLINE):
             words.append(" ")
         if m[1] or m[4]:
             if tag not in INLINE and not (inside and tag not in BREAKOUT and tag not in SCOPE):
                 flush()
-            if tag in tags:
-                close({tag})
+            open_.close({tag})
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -129,21 +174,20 @@ def blocks(page: str | None) -> list[Block]:
                         at = code.start() if code else end
             continue
         if inside and tag in BREAKOUT:
-            close(FOREIGN)
+            open_.close(FOREIGN)
             inside = False
         if inside:
             if not attributes.endswith("/"):
-                tags.append(tag)
-                path.append("")  # no part of the path
+                open_.push(tag, open_.elements[-1])
             continue
         if tag not in INLINE:
             flush()
-            if "p" in tags and tag not in VOID:
-                close({"p"})
+            if open_.counts["p"] and tag not in VOID:
+                open_.close({"p"})
             if tag in CLOSES:
-                close(CLOSES[tag])
+                open_.close(CLOSES[tag])
         if tag not in VOID and not (attributes.endswith("/") and tag in INLINE):
-            tags.append(tag)
-            path.append(_tokens(tag, attributes))
+            around = open_.elements[-1]
+            open_.push(tag, around if tag in INLINE else around.child(_tokens(tag, attributes)))
     flush()
     return found
