@@ -350,6 +350,8 @@ def training_page(rng: np.random.Generator) -> str:
         for _ in range(rng.integers(1, 14)):
             parts.append(_pick(rng, f"<p>{main()}</p>", f"<p>{main()}</p>", f"<p>{main(1, 4)}</p>", f"<p><b>{main()}<br>{main(3, 30)}<p>{main()}</p>", f"<h2>{main(1, 8)}</h2>", f"<ul><li>{main(2, 20)}</li><li>{main(2, 20)}</li></ul>",
                                f"<blockquote><p>{main(4, 40)}</p></blockquote>", f'<p>{main(4, 30)} <a href="/x">{part(1, 4)}</a> {part(2, 20)}</p>', f"<p>{main(30, 120)}</p>", f"<pre>{main(3, 20)}</pre>", f"<table><tr><td>{main(1, 3)}</td><td>{main(1, 3)}</td></tr></table>"))
+            if maybe(0.03):  # many short ones in a row
+                parts += [f"<p>{main(1, 4)}</p>"] * int(rng.integers(2, 20))
             if maybe(0.06):
                 parts.append(_pick(rng, advert, side, form, notice)())
         body = head + "".join(parts)
