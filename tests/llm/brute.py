@@ -134,3 +134,47 @@ def bigram_scores(rows, mu, folds=10):
 
 def lowered_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+
+
+def ftrl(rows, epochs, alpha, beta, l1, l2):
+    """[(label, {feature: value})] -> (weights, bias), one feature after another as the published rule says."""
+    from math import copysign, exp, sqrt
+
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0.0)) <= l1:
+            return 0.0
+        return -(z[f] - copysign(l1, z[f])) / ((beta + sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for y, x in rows:
+            x = {**x, "bias": 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / alpha * w[f]
+                n[f] = old + g * g
+    return {f: weight(f) for f in z if f != "bias"}, weight("bias")
+
+
+def gram_features(text):
+    """The classifier's features of a text, as readable tuples with their counts."""
+    from collections import Counter
+
+    w = BLANK.findall(text or "")
+
+    def shape(x):
+        kinds = "".join("X" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "x" * len(c.encode()) if c > "\x7f" or "a" <= c <= "z" else c for c in x)
+        return re.sub(r"(.)\1+", r"\1", kinds, flags=re.S)
+
+    found = Counter()
+    for space, seq in (("w", w), ("s", [shape(x) for x in w])):
+        found.update((space, x) for x in seq)
+        found.update((space, 2, a, b) for a, b in zip(seq, seq[1:], strict=False))
+        found.update((space, "same", a == b) for a, b in zip(seq, seq[1:], strict=False))
+    triples = Counter(zip(w, w[1:], w[2:], strict=False))
+    found.update(("t", min(triples[t], 4)) for t in zip(w, w[1:], w[2:], strict=False))
+    return found

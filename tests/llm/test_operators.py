@@ -198,6 +198,43 @@ def test_classifier(spark, data, docs, empty):
     assert op4_classifier.classify(empty, *model).count() == 0
 
 
+def test_classifier_against_brute_force(spark):
+    """Weights and scores by readable features and the plain update rule, one feature at a time."""
+    rng = np.random.default_rng(11)
+    words = ["good", "Fine", "text", "win", "$$$", "click", "9x", "é", "and"]
+    texts = [" ".join(rng.choice(words[:6] if k % 2 else words[3:], rng.integers(0, 12))) for k in range(60)]
+    ids = [k // 2 if k < 20 else k for k in range(60)]  # some ids twice, with other texts
+    table = documents(spark, [*texts, texts[0], None], [*ids, ids[0], 60])
+    labels = spark.createDataFrame([(i, i % 2, 5) for i in range(61)] + [(99, 1, 5), (None, 1, 5), (7, None, 5)], "doc_id long, quality int, toxic int")
+    weights, bias = op4_classifier.fit(table, labels)
+    chosen = table.where(op4_classifier.training_row(op4_classifier.F.col("doc_id"), op4_classifier.FOLDS)).where("doc_id is not null").select("doc_id", "text", op4_classifier.F.xxhash64("doc_id").alias("key"), op4_classifier.F.xxhash64("text").alias("tie")).distinct().orderBy("key", "doc_id", "tie").collect()
+
+    def scaled(text):
+        grams = brute.gram_features(text)
+        return {f: op4_classifier.SCALE * c / grams.total() for f, c in grams.items()}
+
+    want, want_bias = brute.ftrl([(r.doc_id % 2, scaled(r.text)) for r in chosen], op4_classifier.EPOCHS, op4_classifier.ALPHA, op4_classifier.BETA, op4_classifier.L1, op4_classifier.L2)
+    assert bias == pytest.approx(want_bias, rel=1e-4)
+    scored = op4_classifier.classify(table, weights, bias).collect()
+    assert len(scored) == 62
+    by_text = {r.doc_id: r.text for r in table.where("doc_id >= 20").collect()}
+    for r in scored:
+        if r.doc_id is not None and r.doc_id >= 20:
+            score = 1 / (1 + np.exp(-want_bias - sum(want.get(f, 0.0) * v for f, v in scaled(by_text[r.doc_id]).items())))
+            assert r.score == pytest.approx(score, abs=2e-4) and r.predicted == (r.score >= 0.3)
+
+
+def test_classifier_sample(spark):
+    """Labels without a document take no place; equal rows are learned from once, however many; ids of any type."""
+    rows = [("a", "one two")] * 50 + [("b", "three four"), ("c", "five")]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"x{i}", 1) for i in range(100)] + [("a", 0), ("b", 1), ("c", 1)], "doc_id string, quality int")
+    few = op4_classifier.fit(table, labels, most=3)
+    once = op4_classifier.fit(table.distinct(), labels, most=3)
+    assert (few[0] == once[0]).all() and few[1] == once[1] and few[0].any()
+    assert op4_classifier.classify(table, *few).count() == 52
+
+
 def test_secrets_base(spark, data, docs, empty):
     for table in (docs, spark.read.parquet(f"{data}/documents.parquet")):
         text = {i: t for i, t in rows_of(table)}

@@ -5,14 +5,16 @@ shapes (letter case, digits and punctuation patterns), bigrams marked by whether
 words are equal, and trigrams marked by how often they occur in their text.  A text is the relative frequency of its features, so its score
 is one sparse dot product.
 
-The model is fitted on at most ``MAX_TRAIN`` labelled rows (those with the least hash of
-their id), by one task, in an order fixed by that hash; its weights are a constant 1 MB,
-which is the bound behind the broadcast.  Scoring is one pass over all whole texts.
+The model is fitted on at most ``MAX_TRAIN`` labelled documents (those with the least hash of
+their id and text), by one task, in an order fixed by that hash; its weights are a constant
+1 MB, which is the bound behind the broadcast.  Scoring is one pass over all whole texts.
 
 Defined cases: null and empty texts have no features and score by the bias; rows with a
-null label, and labels without a document, are not learned from; without any labelled row
-every score is 0.5; repeated rows and null ids each get their row; extra columns and
-labels, lang, source and ids are never inputs of a score.
+null label, and labels without a document, are not learned from and take no place in the
+sample; rows of equal id and text are learned from once, an id with several labels has its
+least; without any labelled row every score is 0.5; repeated rows and null ids each get
+their row; ids may be of any type; extra columns and labels, lang, source and ids are never
+inputs of a score.
 """
 
 from __future__ import annotations
@@ -128,18 +130,21 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    order = F.xxhash64("doc_id")
-    known = labels.where(F.col("quality").isin(0, 1) & training_row(F.col("doc_id"), FOLDS)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = known.orderBy(order, "doc_id").limit(most)  # ids and labels of at most `most` rows
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", order.alias("key"), "quality", "text")
+    order = ["key", "doc_id", "tie"]
+    known = labels.where(F.col("quality").isin(0, 1) & training_row(F.col("doc_id"), FOLDS)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    ids = docs.select("doc_id", F.xxhash64("text").alias("tie")).join(known, "doc_id").distinct()
+    sample = ids.withColumn("key", F.xxhash64("doc_id")).orderBy(*order).limit(most)  # ids, hashes and labels of at most `most` documents
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(F.broadcast(sample), ["doc_id", "tie"])
+    chosen = found.groupBy(*order).agg(F.first("quality").alias("quality"), F.first("text").alias("text"))
+    fields = f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, quality int"
 
     def featurise(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = list(sparse_rows(split_words(batch.column("text"))))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
-                    names=["doc_id", "key", "quality", "slots", "values"],
+                    [*batch.columns[:4], pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
+                    names=[*order, "quality", "slots", "values"],
                 )
 
     def learn(batches):
@@ -147,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[np.n
         weights, bias = train(rows)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    sparse = chosen.mapInArrow(featurise, "doc_id long, key long, quality int, slots binary, values binary")
-    model = sparse.repartition(1).sortWithinPartitions("key", "doc_id", F.xxhash64("slots", "values")).mapInArrow(learn, "weights binary, bias double").first()
+    sparse = chosen.mapInArrow(featurise, f"{fields}, slots binary, values binary")
+    model = sparse.repartition(1).sortWithinPartitions(*order).mapInArrow(learn, "weights binary, bias double").first()
     if model is None:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
@@ -165,7 +170,7 @@ def classify(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                 got = scores(split_words(batch.column("text")), *model.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got), pa.array((got >= CUTOFF).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def op4_classifier(spark, sf_dir: str) -> DataFrame:
