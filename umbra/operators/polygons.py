@@ -133,55 +133,142 @@ def outline(mask: np.ndarray) -> list[np.ndarray]:
     return rings
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull, counter-clockwise, by two monotone chains."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def chain(order):
+        kept: list[np.ndarray] = []
+        for p in order:
+            while len(kept) > 1 and np.linalg.det(np.array([kept[-1] - kept[-2], p - kept[-1]])) <= 0:
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    return np.array(chain(points) + chain(points[::-1]))
+
+
 def dominant_angle(ring: np.ndarray) -> float:
-    """The direction, modulo 90 degrees, of most wall length."""
-    d = np.roll(ring, -1, axis=0) - ring
-    length, angle = np.hypot(d[:, 0], d[:, 1]), np.arctan2(d[:, 1], d[:, 0]) * 4
-    return math.degrees(math.atan2((length * np.sin(angle)).sum(), (length * np.cos(angle)).sum())) / 4 % 90
+    """The direction, modulo 90 degrees, of the smallest rectangle around the ring.
+
+    A rectangle answers for the whole shape; edges of a staircase all run along the grid.
+    """
+    around = hull(np.asarray(ring, float))
+    if len(around) < 3:
+        return 0.0
+    d = np.roll(around, -1, axis=0) - around
+    best = (math.inf, 0.0)
+    for angle in np.arctan2(d[:, 1], d[:, 0]):
+        turned = around @ np.array([[math.cos(angle), -math.sin(angle)], [math.sin(angle), math.cos(angle)]])
+        best = min(best, (round(float(np.prod(np.ptp(turned, axis=0))), 9), math.degrees(angle) % 90))
+    return best[1]
+
+
+def _area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0], ring[:, 1]
+    return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
 
 
-def regularised(ring: np.ndarray, tolerance: float = 1.0, snap: float = 25.0, free: float = 3.0, drift: float = 0.4) -> np.ndarray:
-    """An outline with walls along its main direction.
+def _meet(p: np.ndarray, u: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+    """Where two lines (a point and a direction each) cross; None if they are parallel."""
+    cross = u[0] * v[1] - u[1] * v[0]
+    if abs(cross) < 1e-9:
+        return None
+    return p + ((q - p)[0] * v[1] - (q - p)[1] * v[0]) / cross * u
 
-    Simplified first; long edges within ``snap`` degrees of the main direction are turned onto it,
-    runs of parallel walls become one, and neighbours are intersected anew.  If the area
+
+def regularised(ring: np.ndarray, tolerance: float = 1.0, snap: float = 25.0, free: float = 3.0, drift: float = 0.4, main: float | None = None) -> np.ndarray:
+    """An outline with walls along its main direction (that of ``ring`` unless given).
+
+    Simplified first; edges shorter than ``free``, and those within ``snap`` degrees of the main
+    direction or its normal, are turned onto it, runs of walls that head the same way become one, and neighbours are
+    intersected anew (where they run parallel, their common corner stays).  Walls that head
+    opposite ways are the two faces of something thin and never become one.  If the area
     moves by more than ``drift`` the simplified outline stands.
     """
     base = simplified(np.vstack([ring, ring[:1]]), tolerance)[:-1]
     if len(base) < 4:
         return base
-    main = dominant_angle(base)
-    walls: list[list] = []  # direction, a point on the wall, length
+    main = dominant_angle(ring) if main is None else main
+    walls: list[list] = []  # heading, a point on the wall, length, the corner it ends in
     for a, b in zip(base, np.roll(base, -1, axis=0), strict=True):
-        length, angle = math.hypot(*(b - a)), math.degrees(math.atan2(b[1] - a[1], b[0] - a[0])) % 180
-        best = min((main, main + 90), key=lambda m: abs((angle - m + 90) % 180 - 90))
-        direction = best % 180 if length >= free and abs((angle - best + 90) % 180 - 90) <= snap else angle
-        if walls and abs((walls[-1][0] - direction + 90) % 180 - 90) < 1e-6:
-            whole = walls[-1][2] + length
-            walls[-1] = [direction, (walls[-1][1] * walls[-1][2] + (a + b) / 2 * length) / whole, whole]
+        length, angle = math.hypot(*(b - a)), math.degrees(math.atan2(b[1] - a[1], b[0] - a[0]))
+        axis = main + 90 * round((angle - main) / 90)
+        heading = math.radians(axis if length < free or abs(angle - axis) <= snap else angle)
+        walls.append([np.array([math.cos(heading), math.sin(heading)]), (a + b) / 2, length, b])
+    same = lambda a, b: float(a[0] @ b[0]) > 1 - 1e-9
+    runs: list[list] = []
+    for wall in walls:
+        if runs and same(runs[-1][-1], wall):
+            runs[-1].append(wall)
         else:
-            walls.append([direction, (a + b) / 2, length])
-    if len(walls) > 2 and abs((walls[0][0] - walls[-1][0] + 90) % 180 - 90) < 1e-6:
-        last = walls.pop()
-        whole = walls[0][2] + last[2]
-        walls[0] = [walls[0][0], (walls[0][1] * walls[0][2] + last[1] * last[2]) / whole, whole]
-    if len(walls) < 3:
+            runs.append([wall])
+    if len(runs) > 2 and same(runs[-1][-1], runs[0][0]):
+        runs[0] = runs.pop() + runs[0]
+    if len(runs) < 3:
         return base
-    corners = []
-    for (d1, p1, _), (d2, p2, _) in zip(walls, walls[1:] + walls[:1], strict=True):
-        u, v = (np.array([math.cos(math.radians(d)), math.sin(math.radians(d))]) for d in (d1, d2))
-        cross = u[0] * v[1] - u[1] * v[0]
-        if abs(cross) < 1e-9:
-            return base
-        t = ((p2 - p1)[0] * v[1] - (p2 - p1)[1] * v[0]) / cross
-        corners.append(p1 + t * u)
+    whole = [(run[0][0], sum(w[1] * w[2] for w in run) / sum(w[2] for w in run), run[-1][3]) for run in runs]
+    corners = [at if (at := _meet(p, u, q, v)) is not None else end for (u, p, end), (v, q, _) in zip(whole, whole[1:] + whole[:1], strict=True)]
     out = np.array(corners)
-    size = lambda q: abs(np.sum(q[:, 0] * np.roll(q[:, 1], -1) - np.roll(q[:, 0], -1) * q[:, 1])) / 2
-    return out if size(base) and abs(size(out) - size(base)) <= drift * size(base) else base
+    return out if abs(abs(_area(out)) - abs(_area(ring))) <= drift * abs(_area(ring)) and out.size else base
+
 
+def pulled_in(ring: np.ndarray, by: float, solid_left: bool) -> np.ndarray | None:
+    """The ring with every wall moved into the solid by a distance, corners kept sharp.
 
-def outlines(regions: DataFrame, grid: Grid, least_area: float = 20.0) -> DataFrame:
-    """(region, rings, area): the regularised outline of every region of cells, small ones left out."""
+    Of what falls apart the largest piece stays; None if nothing is left.
+    """
+    d = np.roll(ring, -1, axis=0) - ring
+    length = np.hypot(d[:, 0], d[:, 1])
+    ring, d, length = ring[length > 0], d[length > 0], length[length > 0]
+    if len(ring) < 3:
+        return None
+    heading = d / length[:, None]
+    inward = np.column_stack([-heading[:, 1], heading[:, 0]]) * (by if solid_left else -by)
+    moved = [at if (at := _meet(ring[k - 1] + inward[k - 1], heading[k - 1], ring[k] + inward[k], heading[k])) is not None else ring[k] + inward[k] for k in range(len(ring))]
+    sign = math.copysign(1, _area(ring))
+    # Walls that come to lie on each other are moved apart by a millionth, so that they cross or don't.
+    apart = np.sin(np.arange(2 * len(moved)).reshape(-1, 2) + 1) * 1e-6 * by
+    pieces = [p for p in simple_pieces(np.array(moved) + apart) if _area(p) * sign > 1e-3 * by * by]
+    return max(pieces, key=lambda p: abs(_area(p))) if pieces else None
+
+
+def simple_pieces(ring: np.ndarray) -> list[np.ndarray]:
+    """A ring that crosses itself as rings that don't; a piece of opposite sense is turned inside out."""
+    todo, done = [ring], []
+    while todo:
+        ring = todo.pop()
+        n, cut = len(ring), None
+        for i in range(n):
+            a, b = ring[i], ring[(i + 1) % n]
+            for j in range(i + 2, n - (i == 0)):
+                c, d = ring[j], ring[(j + 1) % n]
+                at = _meet(a, b - a, c, d - c)
+                if at is None:
+                    continue
+                s, t = (float((at - p) @ (q - p)) / max(float((q - p) @ (q - p)), 1e-30) for p, q in ((a, b), (c, d)))
+                if 1e-9 < s < 1 - 1e-9 and 1e-9 < t < 1 - 1e-9:
+                    cut = i, j, at
+                    break
+            if cut:
+                break
+        if not cut:
+            done.append(ring)
+            continue
+        i, j, at = cut
+        todo += [np.vstack([at[None], ring[i + 1:j + 1]]), np.vstack([ring[:i + 1], at[None], ring[j + 1:]])]
+    return [r for r in done if len(r) > 2]
+
+
+def outlines(regions: DataFrame, grid: Grid, least_area: float = 20.0, pull: float = 0.5) -> DataFrame:
+    """(region, rings, area): the regularised outline of every region of cells, small ones left out.
+
+    A cell is in a region when something in it is, so outlines stand half a cell too far out
+    on the average: walls are pulled in by ``pull`` cells.  ``area`` is that of the cells.
+    A region whose outline vanishes is left out; holes (patios) are straightened along with it.
+    """
 
     def trace(key, cells: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = cells["row"].min(), cells["col"].min()
@@ -190,10 +277,13 @@ def outlines(regions: DataFrame, grid: Grid, least_area: float = 20.0) -> DataFr
         area = float(mask.sum()) * grid.res**2
         if area < least_area:
             return pd.DataFrame({"region": pd.Series([], dtype="int64"), "rings": pd.Series([], dtype=object), "area": pd.Series([], dtype=float)})
-        rings = []
-        for ring in outline(mask):
-            xy = np.column_stack([grid.x_min + (ring[:, 1] + c0) * grid.res, grid.y_max - (ring[:, 0] + r0) * grid.res])
-            rings.append([{"x": float(x), "y": float(y)} for x, y in regularised(xy, grid.res)])
+        traced = [np.column_stack([grid.x_min + (q[:, 1] + c0) * grid.res, grid.y_max - (q[:, 0] + r0) * grid.res]) for q in outline(mask)]
+        largest = max(traced, key=lambda q: abs(_area(q)))
+        main, outer = dominant_angle(largest), math.copysign(1, _area(largest))
+        drawn = [pulled_in(regularised(q, grid.res, main=main), pull * grid.res, outer > 0) if pull else regularised(q, grid.res, main=main) for q in traced]
+        rings = [[{"x": float(x), "y": float(y)} for x, y in q] for q in drawn if q is not None]
+        if not any(q is not None and _area(q) * outer > 0 for q in drawn):
+            return pd.DataFrame({"region": pd.Series([], dtype="int64"), "rings": pd.Series([], dtype=object), "area": pd.Series([], dtype=float)})
         return pd.DataFrame({"region": [key[0]], "rings": [rings], "area": [area]})
 
     return regions.select("region", "row", "col").groupBy("region").applyInPandas(trace, f"region long, rings {RINGS}, area double")

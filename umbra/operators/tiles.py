@@ -9,13 +9,15 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions.projection import hilbert_id
+from umbra.operators.shade import state_code
 
 SIDE = 256
 #: Fixed by the file format: the position of each state in the palette.
@@ -205,77 +207,126 @@ def archive_rows(tiles: DataFrame, path: str, bounds: tuple[float, float, float,
 
 # Resampling to tiles
 
-def render(cells: DataFrame, bounds: tuple[float, float, float, float], zoom: int, shape: tuple[int, int], colors: dict[int, tuple[int, int, int, int]], states: tuple[int, ...] = STATES) -> DataFrame:
-    """(tile_id, x, y, png) of one zoom from cells (row, col, lon, lat, code).
+def _pixels(cells: DataFrame, bounds: tuple[float, float, float, float], zoom: int, shape: tuple[int, int]) -> tuple[DataFrame, Column, Column]:
+    """Each cell with the pixels it bears on: (cells spread to px, py; weight; squared distance).
 
-    Each cell goes to the pixels nearest to it (its own, and where cells are wider than
-    pixels the ones between), so a tile is one group; tiles that show nothing are left out.
+    Along an axis on which pixels are wider than cells a cell bears on the pixel its centre
+    lies in; where they are narrower, on those within a cell's width, by distance (a tent).
     """
-    n = float(1 << zoom)
+    n = float(1 << zoom) * SIDE
     west, south, east, north = bounds
     height, width = shape
-    step_x, step_y = (east - west) / width, (north - south) / height
-
-    def pixel(lon: Column, lat: Column) -> tuple[Column, Column]:
-        x = (lon + 180) / 360 * n * SIDE
-        y = (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n * SIDE
-        return x, y
-
-    x0, y0 = pixel(F.lit(west) + F.col("col") * step_x, F.lit(north) - F.col("row") * step_y)
-    x1, y1 = pixel(F.lit(west) + (F.col("col") + 1) * step_x, F.lit(north) - (F.col("row") + 1) * step_y)
-    span = lambda a, b: F.sequence(F.ceil(a - 0.5).cast("long"), F.greatest(F.ceil(b - 0.5).cast("long") - 1, F.ceil(a - 0.5).cast("long")))
-    dots = cells.select("code", F.explode(span(x0, x1)).alias("px"), F.col("row"), F.col("col"))
-    dots = dots.select("code", "px", F.explode(span(y0, y1)).alias("py"))
-    dots = dots.groupBy("px", "py").agg(F.max("code").alias("code"))
-    placed = dots.select(F.floor(F.col("px") / SIDE).alias("x"), F.floor(F.col("py") / SIDE).alias("y"), (F.col("px") % SIDE).cast("int").alias("i"), (F.col("py") % SIDE).cast("int").alias("j"), F.col("code").cast("int").alias("code"))
+    lon = F.lit(west) + (F.col("col") + 0.5) * ((east - west) / width)
+    lat = F.lit(north) - (F.col("row") + 0.5) * ((north - south) / height)
+    down = lambda v: (1 - math.log(math.tan(math.radians(v)) + 1 / math.cos(math.radians(v))) / math.pi) / 2 * n
+    wide, high = (east - west) / 360 * n / width, (down(south) - down(north)) / height  # pixels a cell
+    at = cells.withColumn("_u", (lon + 180) / 360 * n).withColumn("_w", (1 - F.log(F.tan(F.radians(lat)) + 1 / F.cos(F.radians(lat))) / math.pi) / 2 * n)
+
+    def span(c: str, size: float) -> Column:
+        if size <= 1:
+            return F.array(F.floor(c))
+        return F.sequence(F.ceil(F.col(c) - 0.5 - size).cast("long"), F.floor(F.col(c) - 0.5 + size).cast("long"))
+
+    tent = lambda p, c, size: F.lit(1.0) if size <= 1 else F.greatest(F.lit(0.0), 1 - F.abs(F.col(p) + 0.5 - F.col(c)) / size)
+    spread = at.withColumn("px", F.explode(span("_u", wide))).withColumn("py", F.explode(span("_w", high)))
+    across, along = F.col("px") + 0.5 - F.col("_u"), F.col("py") + 0.5 - F.col("_w")
+    return spread, tent("px", "_u", wide) * tent("py", "_w", high), across * across + along * along
+
+
+def pixel_codes(cells: DataFrame, bounds: tuple[float, float, float, float], zoom: int, shape: tuple[int, int]) -> DataFrame:
+    """(px, py, code) of one zoom from cells (row, col, margin, margin_felled, blocker_at, canopy, covered).
+
+    The margins (sun over skyline, with and without trees) are resampled first, by mean where
+    pixels are wider than cells and else bilinearly, over covered cells; what is a label comes
+    from the nearest cell; the state is decided last, so that no state has a say by its number.
+    """
+    spread, weight, square = _pixels(cells, bounds, zoom, shape)
+    lit = F.coalesce("covered", F.lit(False))
+    mean = lambda c: F.sum(F.when(lit, F.col("k") * F.col(c))) / F.sum(F.when(lit & F.col(c).isNotNull(), F.col("k")))
+    near = F.min_by(F.struct("blocker_at", "canopy", "covered"), F.struct(square, "row", "col"))
+    fields = spread.withColumn("k", weight).where("k > 0").groupBy("px", "py").agg(mean("margin").alias("margin"), mean("margin_felled").alias("felled"), near.alias("near"))
+    judged = state_code(fields.select("px", "py", F.lit(0.0).alias("elevation"), (-F.col("margin")).alias("horizon"), (-F.col("felled")).alias("horizon_felled"), "near.*"))
+    return judged.select("px", "py", "code")
+
+
+def nearest_codes(cells: DataFrame, bounds: tuple[float, float, float, float], zoom: int, shape: tuple[int, int]) -> DataFrame:
+    """(px, py, code) of one zoom from cells (row, col, code): each pixel shows its nearest cell."""
+    spread, weight, square = _pixels(cells, bounds, zoom, shape)
+    return spread.where(weight > 0).groupBy("px", "py").agg(F.min_by("code", F.struct(square, "row", "col")).alias("code"))
+
+
+def draw(pixels: DataFrame, zoom: int, colors: dict[int, tuple[int, int, int, int]], states: tuple[int, ...] = STATES, keep_blank: bool = False) -> DataFrame:
+    """(tile_id, x, y, png) from (px, py, code); tiles that show nothing are left out unless kept."""
+    placed = pixels.select(F.floor(F.col("px") / SIDE).alias("x"), F.floor(F.col("py") / SIDE).alias("y"), (F.col("px") % SIDE).cast("int").alias("i"), (F.col("py") % SIDE).cast("int").alias("j"), F.col("code").cast("int").alias("code"))
     visible = {s for s, c in colors.items() if c[3] > 0}
 
-    def draw(key, block: pd.DataFrame) -> pd.DataFrame:
+    def paint(key, block: pd.DataFrame) -> pd.DataFrame:
         plane = np.full((SIDE, SIDE), states[-1], np.uint8)
         plane[block["j"], block["i"]] = block["code"].astype(np.uint8)
-        if not visible & set(np.unique(plane).tolist()):
+        if not keep_blank and not visible & set(np.unique(plane).tolist()):
             return pd.DataFrame({"tile_id": [], "x": [], "y": [], "png": []})
         tile = int(hilbert_id(np.array([key[0]]), np.array([key[1]]), zoom)[0])
         return pd.DataFrame({"tile_id": [tile], "x": [key[0]], "y": [key[1]], "png": [encode_png(plane, colors, states)]})
 
-    return placed.groupBy("x", "y").applyInPandas(draw, "tile_id long, x long, y long, png binary")
+    return placed.groupBy("x", "y").applyInPandas(paint, "tile_id long, x long, y long, png binary")
+
+
+def render(cells: DataFrame, bounds: tuple[float, float, float, float], zoom: int, shape: tuple[int, int], colors: dict[int, tuple[int, int, int, int]], states: tuple[int, ...] = STATES, keep_blank: bool = False) -> DataFrame:
+    """(tile_id, x, y, png) of one zoom, from margins where cells have them, else from codes."""
+    codes = pixel_codes if "margin" in cells.columns else nearest_codes
+    return draw(codes(cells, bounds, zoom, shape), zoom, colors, states, keep_blank)
+
+
+def pyramid(cells: DataFrame, bounds: tuple[float, float, float, float], zooms: range, shape: tuple[int, int], colors: dict[int, tuple[int, int, int, int]], states: tuple[int, ...] = STATES) -> DataFrame:
+    """(zoom, tile_id, x, y, png) of all zooms; the lowest keeps its blank tiles, so that every map has an image."""
+    levels = [render(cells, bounds, z, shape, colors, states, keep_blank=z == zooms[0]).withColumn("zoom", F.lit(z)) for z in zooms]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def pyramid_totals(tiles: DataFrame, bounds: tuple[float, float, float, float], zooms: range) -> DataFrame:
+    """(zoom, written, blank): how many tiles of the bounds are in the pyramid, and how many were left out."""
+    west, south, east, north = bounds
+
+    def count(zoom: int) -> int:
+        n = 1 << zoom
+        down = lambda v: (1 - math.log(math.tan(math.radians(v)) + 1 / math.cos(math.radians(v))) / math.pi) / 2 * n
+        return (math.ceil((east + 180) / 360 * n) - math.floor((west + 180) / 360 * n)) * (math.ceil(down(south)) - math.floor(down(north)))
+
+    whole = tiles.sparkSession.createDataFrame([(z, count(z)) for z in zooms], "zoom int, n long")
+    written = tiles.groupBy("zoom").agg(F.count("*").alias("written"))
+    return whole.join(written, "zoom", "left").select("zoom", F.coalesce("written", F.lit(0)).alias("written"), (F.col("n") - F.coalesce("written", F.lit(0))).alias("blank"))
 
 
 # Distances
 
-def distance_to(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance in cells to the nearest True cell (infinite if none).
+def envelope(f: np.ndarray) -> np.ndarray:
+    """min over j of (i - j)**2 + f[j] for every i: the lower envelope of parabolas (infinite f: none there)."""
+    live, x = np.flatnonzero(np.isfinite(f)), np.arange(len(f), dtype=float)
+    if not len(live):
+        return np.full(len(f), np.inf)
+    v, z = [int(live[0])], [-np.inf]
+    for q in live[1:].tolist():
+        while True:
+            s = (f[q] + q * q - f[v[-1]] - v[-1] * v[-1]) / (2 * (q - v[-1]))
+            if s > z[-1]:
+                break
+            v.pop()
+            z.pop()
+        v.append(q)
+        z.append(s)
+    near = np.array(v)[np.searchsorted(z, x, side="right") - 1]
+    return (x - near) ** 2 + f[near]
 
-    Columns first (nearest above and below), then the lower envelope of parabolas of each row.
-    """
-    rows, cols = mask.shape
+
+def distance_to(mask: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distance in cells to the nearest True cell (infinite if none): columns first, then rows."""
+    rows = len(mask)
     down = np.where(mask, 0.0, np.inf)
     for r in range(1, rows):
         down[r] = np.minimum(down[r], down[r - 1] + 1)
     for r in range(rows - 2, -1, -1):
         down[r] = np.minimum(down[r], down[r + 1] + 1)
-    square, x = down * down, np.arange(cols, dtype=float)
-    out = np.empty_like(square)
-    for r in range(rows):
-        f = square[r]
-        live = np.flatnonzero(np.isfinite(f))
-        if not len(live):
-            out[r] = np.inf
-            continue
-        v, z = [int(live[0])], [-np.inf]
-        for q in live[1:].tolist():
-            while True:
-                s = (f[q] + q * q - f[v[-1]] - v[-1] * v[-1]) / (2 * (q - v[-1]))
-                if s > z[-1]:
-                    break
-                v.pop()
-                z.pop()
-            v.append(q)
-            z.append(s)
-        k = np.searchsorted(z, x, side="right") - 1
-        near = np.array(v)[k]
-        out[r] = (x - near) ** 2 + f[near]
-    return np.sqrt(out)
+    return np.sqrt(np.stack([envelope(f) for f in down * down])) if rows else down
 
 
 def signed_distance(mask: np.ndarray) -> np.ndarray:
@@ -283,8 +334,44 @@ def signed_distance(mask: np.ndarray) -> np.ndarray:
     return distance_to(~mask) - distance_to(mask)
 
 
+def distances(cells: DataFrame, value: str) -> DataFrame:
+    """(row, col, distance) of a boolean, exact at any distance; infinite where there is only one value.
+
+    Separable: the nearest cell of each value in a column by windows, then the lower envelope
+    of each row.  What a task holds is a column or a row; cells may be missing from the grid.
+    """
+    extent = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if extent[0] is None:
+        return cells.select("row", "col", F.lit(0.0).alias("distance"))
+    r0, r1, c0, c1 = extent
+    on = F.col("on")
+    grid = cells.sparkSession.range(c0, c1 + 1).select(F.col("id").cast("int").alias("col"), F.explode(F.sequence(F.lit(int(r0)), F.lit(int(r1)))).alias("row"))
+    whole = grid.join(cells.select("row", "col", F.col(value).alias("on")), ["row", "col"], "left")
+    before, after = (W.partitionBy("col").orderBy("row").rowsBetween(*b) for b in ((W.unboundedPreceding, 0), (0, W.unboundedFollowing)))
+
+    def near(flag: Column) -> Column:
+        here = F.when(flag, F.col("row"))
+        return F.least(F.col("row") - F.last(here, ignorenulls=True).over(before), F.first(here, ignorenulls=True).over(after) - F.col("row"))
+
+    columns = whole.select("row", "col", "on", near(on).alias("to_on"), near(~on).alias("to_off"))
+
+    def across(key, line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values("col")
+        to = {}
+        for name in ("to_on", "to_off"):
+            f = line[name].to_numpy(float)
+            to[name] = np.sqrt(envelope(np.where(np.isnan(f), np.inf, f * f)))
+        known = line["on"].notna().to_numpy()
+        inside = line["on"].fillna(False).to_numpy(bool)
+        d = np.where(inside, to["to_off"], -to["to_on"])
+        return pd.DataFrame({"row": line["row"].to_numpy()[known], "col": line["col"].to_numpy()[known], "distance": d[known]})
+
+    return columns.groupBy("row").applyInPandas(across, "row int, col int, distance double")
+
+
 def signed_distances(cells: DataFrame, value: str, reach: int, tile: int = 256) -> DataFrame:
-    """(row, col, distance) of a boolean, exact up to ``reach`` cells and cut there; tiles with a halo."""
+    """(row, col, distance) of a boolean where only what lies within ``reach`` cells matters: cut there, by tiles
+    with a halo.  ``distances`` is the whole field."""
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))
     spread = cells.select("row", "col", F.col(value).alias("on")).withColumn("tr", F.explode(span("row"))).withColumn("tc", F.explode(span("col")))
     wanted = cells.select(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).distinct()

@@ -880,14 +880,61 @@ def publish_readiness(spark, sf) -> DataFrame:
     return readiness(facts, "e1").select("city", "name", F.col("failure").isNotNull().alias("failed"))
 
 
+_TILE_BOUNDS = (-4.80, 37.87, -4.79, 37.88)
+
+
+def _pixel_sql(zoom: int) -> str:
+    """Codes of one zoom: margins by mean or tent, labels by the nearest cell, the state last."""
+    west, south, east, north = _TILE_BOUNDS
+    n = 256.0 * 2**zoom
+    down = lambda v: (1 - math.log(math.tan(math.radians(v)) + 1 / math.cos(math.radians(v))) / math.pi) / 2 * n
+    wide, high = (east - west) / 360 * n / 40, (down(south) - down(north)) / 40
+    span = lambda c, size: f"unnest([floor({c})::BIGINT])" if size <= 1 else f"unnest(range(ceil({c} - 0.5 - {size!r}::DOUBLE)::BIGINT, floor({c} - 0.5 + {size!r}::DOUBLE)::BIGINT + 1))"
+    tent = lambda p, c, size: "1.0::DOUBLE" if size <= 1 else f"greatest(0, 1 - abs({p} + 0.5 - {c}) / {size!r}::DOUBLE)"
+    return f"""
+    SELECT {zoom} AS zoom, px, py, CASE WHEN NOT near.covered THEN 255 WHEN near.canopy AND 0 < -felled THEN 4 WHEN near.canopy THEN 2 WHEN 0 >= -margin THEN 0 WHEN 0 >= -felled THEN 2 WHEN near.kind = 1 THEN 4 WHEN near.kind = 2 THEN 1 ELSE 3 END AS code
+    FROM (SELECT px, py, sum(k * margin) FILTER (covered) / sum(k) FILTER (covered) AS margin, sum(k * felled) FILTER (covered) / sum(k) FILTER (covered) AS felled,
+                 first(struct_pack(kind := kind, canopy := canopy, covered := covered) ORDER BY far, row, col) AS near
+          FROM (SELECT *, {tent("px", "u", wide)} * {tent("py", "w", high)} AS k, (px + 0.5 - u) ** 2 + (py + 0.5 - w) ** 2 AS far
+                FROM (SELECT *, {span("w", high)} AS py FROM (SELECT *, {span("u", wide)} AS px
+                      FROM (SELECT *, (lon + 180) / 360 * {n!r}::DOUBLE AS u, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {n!r}::DOUBLE AS w FROM placed))))
+          WHERE k > 0 GROUP BY px, py)"""
+
+
+@query(with_sql(" UNION ALL ".join(_pixel_sql(z) for z in (10, 13)), "cells", extra=f"""
+placed AS (SELECT row, col, {_TILE_BOUNDS[0]}::DOUBLE + (col + 0.5) * {(_TILE_BOUNDS[2] - _TILE_BOUNDS[0]) / 40!r}::DOUBLE AS lon, {_TILE_BOUNDS[3]}::DOUBLE - (row + 0.5) * {(_TILE_BOUNDS[3] - _TILE_BOUNDS[1]) / 40!r}::DOUBLE AS lat,
+                  49.3::DOUBLE - dsm::DOUBLE AS margin, 49.3::DOUBLE - dsm::DOUBLE + CASE WHEN landcover = 1 THEN 1.5::DOUBLE ELSE 0 END AS felled, landcover AS kind, landcover = 1 AND (row + col) % 5 = 0 AS canopy, (row * 3 + col) % 11 <> 0 AS covered FROM cells)"""))
+def tile_pixels(spark, sf) -> DataFrame:
+    """States of pixels where they are wider than cells (zoom 10) and narrower (zoom 13)."""
+    from umbra.operators.tiles import pixel_codes
+
+    margin = F.lit(49.3) - F.col("dsm").cast("double")
+    cells = d.cells(spark, sf).select(
+        "row", "col", margin.alias("margin"), (margin + F.when(F.col("landcover") == 1, 1.5).otherwise(0.0)).alias("margin_felled"), F.col("landcover").alias("blocker_at"),
+        ((F.col("landcover") == 1) & ((F.col("row") + F.col("col")) % 5 == 0)).alias("canopy"), ((F.col("row") * 3 + F.col("col")) % 11 != 0).alias("covered"))
+    both = [pixel_codes(cells, _TILE_BOUNDS, z, (40, 40)).select(F.lit(z).alias("zoom"), "px", "py", F.col("code").cast("int").alias("code")) for z in (10, 13)]
+    return both[0].unionByName(both[1])
+
+
+@query(with_sql("""
+SELECT a.row, a.col, round(CASE WHEN a.landcover = 2 THEN min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) ELSE -min(sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2)) END, 6) AS distance
+FROM cells a JOIN cells b ON (a.landcover = 2) <> (b.landcover = 2) GROUP BY a.row, a.col, a.landcover""", "cells"))
+def distance_whole(spark, sf) -> DataFrame:
+    """The whole signed field, without a reach."""
+    from umbra.operators.tiles import distances
+
+    return distances(d.cells(spark, sf).withColumn("on", F.col("landcover") == 2), "on").select("row", "col", r6("distance"))
+
+
 @query()
 def tile_images(spark, sf) -> DataFrame:
-    """State tiles of the derived city as paletted images."""
+    """State tiles of the derived city at all its instants as paletted images."""
     from umbra.operators.tiles import render
 
     colors = {0: (0, 0, 0, 0), 1: (40, 50, 90, 140), 2: (30, 90, 50, 140), 3: (60, 60, 60, 140), 255: (0, 0, 0, 0)}
-    cells = d.states(spark, sf).where("column = 0").select("row", "col", F.when(F.col("code") == 4, 1).otherwise(F.col("code")).alias("code"))
-    return render(cells, (-4.80, 37.87, -4.79, 37.88), 15, (40, 40), colors).select("tile_id", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("png_sha256"))
+    cells = d.states(spark, sf).select("column", "row", "col", F.when(F.col("code") == 4, 1).otherwise(F.col("code")).alias("code"))
+    each = [render(cells.where(F.col("column") == k), _TILE_BOUNDS, 15, (40, 40), colors).select(F.lit(k).alias("column"), "tile_id", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("png_sha256")) for k in range(3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query()
