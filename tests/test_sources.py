@@ -86,6 +86,8 @@ def test_viewer(spark):
     html = line(1).format("007bfe") + line(2).format("ff0000") + line(3).format("007BFE") + marker("A<br>ñ", "blue") + line(4).format("007bfe") + marker("other", "red") + line(5).format("007bfe")
     got = files.viewer_zones(spark.createDataFrame([(1, html)], "page int, html string"), "007bfe", "blue").collect()
     assert [(r.name, r.n_lines) for r in got] == [("A<br>ñ", 2)]
+    far = line(1).format("007bfe") + "geometry: new ol.geom.Point(" + " " * 5000 + "name: 'Far'," + "x" * 9000 + "src: './marcas/blue.png'"
+    assert [(r.name, r.n_lines) for r in files.viewer_zones(spark.createDataFrame([(1, far)], "page int, html string"), "007bfe", "blue").collect()] == [("Far", 1)]
     assert spark.range(1).select(files.plain(F.lit("A<br/>ñ  é"))).first()[0] == "A n e"
 
 

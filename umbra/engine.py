@@ -76,17 +76,17 @@ def parking_nearby(questions: DataFrame, zones: DataFrame, skylines: DataFrame,
     samples = lines.samples(vertices, ZONE_SPACING).select("line.zone", "x", "y")
     asked = _placed(questions, city).select("id", F.col("x").alias("x"), F.col("y").alias("y"), "lat", "lon", "at")
     close = lines.near(asked, samples, radius)
-    nearest = close.groupBy("id", "zone").agg(F.min("distance").alias("distance"))
+    # The distance alone ranks, so only the zones that will be told are judged.
+    nearest = close.groupBy("id", "zone").agg(F.min("distance").alias("distance")).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "zone"))).where(F.col("rank") <= ZONE_LIMIT)
     grid = city.grid
     mine = _sunlit(nearest.join(asked, "id").join(samples.withColumnRenamed("x", "sx").withColumnRenamed("y", "sy"), "zone"), "at")
     met = mine.withColumn("row", grid.row(F.col("sy"))).withColumn("col", grid.col(F.col("sx"))).join(skylines.where("covered"), ["row", "col"], "left")
     judged = shade.verdict(shade.read_skyline(met, city.sectors))
-    told = judged.groupBy("id", "zone", "distance").agg(
+    told = judged.groupBy("id", "zone", "distance", "rank").agg(
         F.avg(F.when(F.col("q").isNotNull(), (F.col("state") == "shade").cast("double"))).alias("fraction"), F.bool_and(F.col("state") == "night").alias("night"))
-    ranked = told.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "zone"))).where(F.col("rank") <= ZONE_LIMIT)
     lit = ~F.col("night") & F.col("fraction").isNotNull()
     state = F.when(F.col("fraction").isNull(), F.lit(None)).when(F.col("night"), "night").when(F.col("fraction") >= MAJORITY, "shade").otherwise("sun")
-    answers = ranked.select("id", "rank", "zone", F.bround("distance", 1).alias("distance"), state.alias("state"), F.when(lit, F.bround("fraction", 3)).alias("shade_fraction"))
+    answers = told.select("id", "rank", "zone", F.bround("distance", 1).alias("distance"), state.alias("state"), F.when(lit, F.bround("fraction", 3)).alias("shade_fraction"))
     until = _zones_until(met, answers.where("state = 'shade'").select("id", "zone"), city)
     return answers.join(until, ["id", "zone"], "left")
 

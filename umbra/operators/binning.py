@@ -53,6 +53,32 @@ def finish_cells(binned: DataFrame, terrain: DataFrame) -> DataFrame:
     )
 
 
+def nearest_in_quadrants(plane: np.ndarray, rows: np.ndarray, cols: np.ndarray, reach: int):
+    """For each of four quadrants: value and squared distance of the known cell nearest to each hole (infinite: none).
+
+    Running minima along the rows say where the next known cell lies on either side; then
+    all holes look one row further at a time, until no row could hold a nearer one.  Of
+    equal distances the cell in the nearer row counts.
+    """
+    size, known = plane.shape[1], ~np.isnan(plane)
+    at = np.arange(size)
+    right = np.minimum.accumulate(np.where(known, at, 4 * size)[:, ::-1], axis=1)[:, ::-1]
+    left = np.maximum.accumulate(np.where(known, at, -4 * size), axis=1)
+    for side, shift, down, first in ((right, 0, -1, 1), (right, 1, 1, 0), (left, 0, 1, 1), (left, -1, -1, 0)):
+        best, value = np.full(len(rows), np.inf), np.full(len(rows), np.nan)
+        for k in range(first, reach + 1):
+            open_ = np.flatnonzero(best > k * k)
+            if not len(open_):
+                break
+            r, c = rows[open_] + down * k, cols[open_]
+            there = side[r, np.clip(c + shift, 0, size - 1)]
+            far2 = k * k + (there - c) ** 2.0
+            nearer = (far2 < best[open_]) & (far2 <= reach * reach)
+            best[open_[nearer]] = far2[nearer]
+            value[open_[nearer]] = plane[r[nearer], there[nearer]]
+        yield value, best
+
+
 def fill_terrain(binned: DataFrame, grid: Grid, search: float = 200.0, tile: int = 256) -> DataFrame:
     """(row, col, dtm) of the whole grid; holes get the inverse-distance mean of the nearest
     ground in each quadrant within ``search`` metres.  Raises where none is in reach.
@@ -73,23 +99,20 @@ def fill_terrain(binned: DataFrame, grid: Grid, search: float = 200.0, tile: int
         height, width = min(tile, grid.rows - r0), min(tile, grid.cols - c0)
         if not len(wanted_):
             return pd.DataFrame({"row": [], "col": [], "dtm": []})
-        z = np.full((height, width), np.nan)
-        rows, cols, values = points["row"].to_numpy() - r0, points["col"].to_numpy() - c0, points["z"].to_numpy(float)
-        inside = (rows >= 0) & (rows < height) & (cols >= 0) & (cols < width)
-        z[rows[inside], cols[inside]] = values[inside]
-        for r, c in zip(*np.nonzero(np.isnan(z)), strict=True):
-            dr, dc = rows - r, cols - c
-            d2 = dr * dr + dc * dc
-            total = weight = 0.0
-            for quadrant in ((dr < 0) & (dc >= 0), (dr >= 0) & (dc > 0), (dr > 0) & (dc <= 0), (dr <= 0) & (dc < 0)):
-                near = np.flatnonzero(quadrant & (d2 <= reach * reach))
-                if len(near):
-                    k = near[np.argmin(d2[near])]
-                    w = 1 / np.sqrt(d2[k])
-                    total, weight = total + w * values[k], weight + w
-            if not weight:
-                raise ValueError(f"no ground within {search} m of cell ({r + r0}, {c + c0})")
-            z[r, c] = total / weight
+        plane = np.full((height + 2 * reach, width + 2 * reach), np.nan)
+        plane[points["row"].to_numpy() - r0 + reach, points["col"].to_numpy() - c0 + reach] = points["z"].to_numpy(float)
+        z = plane[reach:reach + height, reach:reach + width]
+        rows, cols = (x + reach for x in np.nonzero(np.isnan(z)))
+        total, weight = np.zeros(len(rows)), np.zeros(len(rows))
+        for found, far2 in nearest_in_quadrants(plane, rows, cols, reach):
+            near = np.isfinite(far2)
+            w = 1 / np.sqrt(far2[near])
+            total[near] += w * found[near]
+            weight[near] += w
+        if not weight.all():
+            k = int(np.argmin(weight))
+            raise ValueError(f"no ground within {search} m of cell ({rows[k] - reach + r0}, {cols[k] - reach + c0})")
+        z[rows - reach, cols - reach] = total / weight
         at = np.indices(z.shape)
         return pd.DataFrame({"row": (at[0] + r0).ravel(), "col": (at[1] + c0).ravel(), "dtm": z.ravel()})
 

@@ -67,14 +67,16 @@ def bracket(cells: DataFrame, azimuth: float, elevation: float, reach: float, re
 def first_blocker(cells: DataFrame, azimuth: float, elevation: float, reach: float, res: float, digits: int | None = None) -> DataFrame:
     """(row, col, blocker): the land cover of the first cell that reaches the elevation, null if none.
 
-    The walk ends where it leaves the grid, so cells beyond a gap don't count.
+    The walk ends at the first cell that is not there, so what stands beyond a gap doesn't count.
     """
     cut = (lambda v: v) if digits is None else (lambda v: round(v, digits))
     rows = [(k, r, c, cut(e)) for k, (r, c, e, _) in enumerate(ray_cells(azimuth, reach, res))]
     seen = along_rays(cells, rows, "ord int, d_row int, d_col int, entry double", ["dsm", "landcover"])
     blocks = F.degrees(F.atan2(F.col("dsm") - F.col("eye"), F.col("entry"))) >= elevation
-    # A convex grid is left once: the cells met are those before the first gap.
-    walk = seen.groupBy("row", "col").agg(F.min(F.when(blocks, F.struct("ord", "landcover"))).alias("hit"))
+    # In order a cell stands at its own number as long as none is missing before it.
+    met = F.array_sort(F.collect_list(F.struct("ord", blocks.alias("blocks"), "landcover")))
+    hits = F.filter(met, lambda x, i: (x["ord"] == i) & x["blocks"])
+    walk = seen.groupBy("row", "col").agg(F.get(hits, F.lit(0)).alias("hit"))
     return cells.select("row", "col").join(walk, ["row", "col"], "left").select("row", "col", F.col("hit.landcover").alias("blocker"))
 
 

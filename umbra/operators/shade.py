@@ -78,13 +78,13 @@ def day_samples(days: DataFrame, zone: str, step_minutes: int = 5) -> DataFrame:
     return days.withColumn("ts", F.explode(F.sequence(start, end - step, step)))
 
 
-def intervals(samples: DataFrame, keys: list[str], values: list[str], ts: str = "ts", step: str = "INTERVAL 5 MINUTES", night: Column | None = None) -> DataFrame:
+def intervals(samples: DataFrame, keys: list[str], values: list[str], ts: str = "ts", step: str = "INTERVAL 5 MINUTES", night: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Runs of equal values in order of time: (keys, values, start, end, n).
 
     A run ends where the next sample differs (night samples end a run and start none);
-    the last ends one step after its last sample.
+    the last ends one step after its last sample.  Samples of one instant go by ``ties``.
     """
-    w = W.partitionBy(*keys).orderBy(ts)
+    w = W.partitionBy(*keys).orderBy(ts, *ties)
     same = F.lit(True)
     for v in values:
         same = same & F.col(v).eqNullSafe(F.lag(v).over(w))

@@ -57,6 +57,21 @@ def landcover_label(spark, sf) -> DataFrame:
     return d.cells(spark, sf).select("row", "col", r6("dsm"), r6("dtm"), F.col("landcover").cast("int").alias("landcover"))
 
 
+@query(with_sql("""
+SELECT row, col, round(coalesce(z, (SELECT (sum(v / far) / sum(1 / far)) FROM (
+  SELECT k.z::DOUBLE AS v, sqrt(far2) AS far, row_number() OVER (PARTITION BY quadrant ORDER BY far2, abs(dr)) AS n
+  FROM (SELECT z, dr, dr * dr + dc * dc AS far2, CASE WHEN dr < 0 AND dc >= 0 THEN 1 WHEN dr >= 0 AND dc > 0 THEN 2 WHEN dr > 0 AND dc <= 0 THEN 3 ELSE 4 END AS quadrant
+        FROM (SELECT z, row - h.row AS dr, col - h.col AS dc FROM sparse k WHERE z IS NOT NULL)) k WHERE far2 <= 144) WHERE n = 1))::FLOAT::DOUBLE, 4) AS dtm
+FROM (SELECT g.r::INT AS row, g.c::INT AS col, s.z FROM (SELECT r, c FROM range(40) AS a(r), range(40) AS b(c)) g LEFT JOIN sparse s ON s.row = g.r AND s.col = g.c) h""", "binned", extra="""
+sparse AS (SELECT row, col, CASE WHEN (row * 7 + col * 3) % 5 < 2 OR (row BETWEEN 10 AND 17 AND col BETWEEN 20 AND 29) THEN NULL ELSE ground END AS z FROM binned)"""))
+def terrain_filled(spark, sf) -> DataFrame:
+    """Ground with holes of one cell and of many, each filled from the nearest ground in its quadrants."""
+    row, col = F.col("row"), F.col("col")
+    hole = ((row * 7 + col * 3) % 5 < 2) | (row.between(10, 17) & col.between(20, 29))
+    sparse = binning.bin_points(d.points(spark, sf), GRID).withColumn("ground", F.when(~hole, F.col("ground")))
+    return binning.fill_terrain(sparse, GRID, search=12.0, tile=16).select("row", "col", F.round(F.col("dtm").cast("double"), 4).alias("dtm"))
+
+
 @query(with_sql("SELECT row, col, round((dsm - dtm)::DOUBLE, 5) AS chm, round((CASE WHEN landcover = 1 THEN dtm ELSE dsm END)::DOUBLE, 6) AS felled FROM cells", "cells"))
 def chm_felled(spark, sf) -> DataFrame:
     c = binning.felled(binning.canopy_height(d.cells(spark, sf)))
@@ -162,7 +177,7 @@ def shade_bracket(spark, sf) -> DataFrame:
     return horizon.bracket(_eye_cells(spark, sf), 3 * 360.0 / SECTORS16, 35.0, REACH, 1.0, 6)
 
 
-@query(with_sql(f"SELECT c.row, c.col, b.blocker FROM cells c LEFT JOIN (SELECT row, col, first(landcover ORDER BY ord) AS blocker FROM ({_OBSTACLES}) WHERE sector = 5 AND degrees(atan2(dsm - eye, entry)) >= 30 GROUP BY row, col) b ON b.row = c.row AND b.col = c.col", "cells", extra=_OFFSETS))
+@query(with_sql(f"SELECT c.row, c.col, b.blocker FROM cells c LEFT JOIN (SELECT row, col, first(landcover ORDER BY ord) AS blocker FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY ord) - 1 AS place FROM ({_OBSTACLES}) WHERE sector = 5) WHERE place = ord AND degrees(atan2(dsm - eye, entry)) >= 30 GROUP BY row, col) b ON b.row = c.row AND b.col = c.col", "cells", extra=_OFFSETS))
 def ray_march_blocker(spark, sf) -> DataFrame:
     found = horizon.first_blocker(_eye_cells(spark, sf), 5 * 360.0 / SECTORS16, 30.0, REACH, 1.0, 6)
     return found.select("row", "col", F.col("blocker").cast("int").alias("blocker"))
@@ -230,7 +245,7 @@ runs AS (
 
 def _runs(spark, sf) -> DataFrame:
     judged = shade.verdict(_seen(spark, sf))
-    return shade.intervals(judged, ["user_id"], ["state", "shade_type"], night=F.col("state") == "night")
+    return shade.intervals(judged, ["user_id"], ["state", "shade_type"], night=F.col("state") == "night", ties=("event_id",))
 
 
 @query(with_sql('SELECT user_id, state, shade_type, "start", "end", n FROM runs', "judged", extra=_RUNS))

@@ -94,20 +94,28 @@ def plain(text: str | None) -> str | None:
     return " ".join(text.split())
 
 
-#: One thing of a viewer page: a line, a colour, or a marker with its name and icon.
-_THING = r"(?s)(var str = \[\[.*?\]\];|color: '#[0-9a-fA-F]{6}'|geometry: new ol\.geom\.Point\(.{0,200}?name: '[^']*'.{0,900}?src: '\./marcas/\w+\.png')"
+#: What viewer pages are read for, one thing at a time: a line, a colour, a point, a name, an icon.
+_THING = r"(?s)(var str = \[\[.*?\]\];|color: '#[0-9a-fA-F]{6}'|new ol\.geom\.Point\(|name: '[^']*'|src: '\./marcas/\w+\.png')"
 
 
 def viewer_zones(pages: DataFrame, color: str, icon: str) -> DataFrame:
     """(page, marker, name, n_lines, lines) from viewer pages (page, html).
 
-    Things come in order; lines of the colour gather until a marker with the icon takes
-    them.  Lines that no such marker follows belong to nobody.
+    Things come in order: a marker is a point with the first name and the first icon after
+    it; lines of the colour gather until a marker with the icon takes them.  Lines that no
+    such marker follows belong to nobody.
     """
     things = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(_THING), 1)).alias("k", "t"))
+    upto = W.partitionBy("page").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    things = things.withColumn("point", F.count(F.when(F.col("t").startswith("new "), 1)).over(upto))
+    own = W.partitionBy("page", "point").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    called = F.first(F.when(F.col("t").startswith("name: "), F.regexp_extract("t", r"name: '([^']*)'", 1)), ignorenulls=True).over(own)
+    is_icon = F.col("t").startswith("src: ")
+    first_icon = is_icon & (F.count(F.when(is_icon, 1)).over(own) == 1) & (F.col("point") > 0)
+    things = things.withColumn("name", called).withColumn("icon", F.when(first_icon & F.col("name").isNotNull(), F.regexp_extract("t", r"src: '\./marcas/(\w+)\.png'$", 1)).otherwise(""))
     w = W.partitionBy("page").orderBy(F.col("k").desc())
     line = F.regexp_extract("t", r"^var str = (\[\[.*\]\]);$", 1)
-    marked = things.withColumn("line", F.when(line != "", line)).withColumn("hue", F.lower(F.regexp_extract("t", r"^color: '#([0-9a-fA-F]{6})'", 1))).withColumn("icon", F.regexp_extract("t", r"src: '\./marcas/(\w+)\.png'$", 1)).withColumn("name", F.regexp_extract("t", r"name: '([^']*)'", 1))
+    marked = things.withColumn("line", F.when(line != "", line)).withColumn("hue", F.lower(F.regexp_extract("t", r"^color: '#([0-9a-fA-F]{6})'", 1)))
     next_hue = F.last(F.when(F.col("hue") != "", F.col("hue")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     next_marker = F.min(F.when(F.col("icon") != "", F.col("k"))).over(w.rowsBetween(W.unboundedPreceding, 0))
     own = marked.withColumn("next_hue", next_hue).withColumn("marker", next_marker)
