@@ -319,30 +319,42 @@ def survivors(docs: DataFrame, k: int = STAGE_SHINGLE, wide: int = STAGE_WIDE, b
     """One document of each group of near copies (the least id; of equal ids one row), all columns.
 
     Near copies: fingerprints of 64 * ``wide`` bits over the distinct k-word shingles share an
-    equal band of 16 bits and differ in ``budget`` bits at most.  Texts are not shuffled while
-    the rows to drop are few enough to broadcast (``BROADCAST_ROWS``, counted).
+    equal band of 16 bits and differ in ``budget`` bits at most.  Rows are known by the digest
+    of id and text, and the table is read again at the end: it is neither written nor, while
+    the rows to drop are few enough to broadcast (``BROADCAST_ROWS``, counted), shuffled.
 
-    Null ids come last; null and blank texts are copies of each other; an empty table stays
-    empty; the columns may have any names but those starting with ``_umbra``.
+    Null ids come last; null and blank texts are copies of each other; of rows with equal id
+    and text the least by its other columns stays; an empty table stays empty; the columns
+    may have any names but those starting with ``_umbra``.
     """
-    fields, row = docs.columns, "_umbra_row"
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("doc"), F.col("text").alias("_umbra_text"), F.monotonically_increasing_id().alias(row))
-    schema = f"doc {nested.schema['doc'].dataType.simpleString()}, {row} long, fp binary"
+    fields, key = docs.columns, "_umbra_key"
+    text_or = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x02"))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat(text_or("doc_id"), F.lit("\x01"), text_or("text")))))
+    slim = keyed.select(key, "doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    schema = f"{key} binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, fp binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_umbra_text"):
-                prints = wide_prints(batch.column("_umbra_text"), k, wide).astype(">u8")
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column(row), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc", row, "fp"])
+            for batch in slices(whole, "text"):
+                prints = wide_prints(batch.column("text"), k, wide).astype(">u8")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([p.tobytes() for p in prints], pa.binary())], names=[key, "doc_id", "row", "fp"])
 
-    marked = cut(nested.mapInArrow(run, schema), "marked")
-    first = F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col(row).alias("row"))).alias("first")
-    nodes = cut(marked.groupBy("fp").agg(first).withColumn("node", F.col("first.row")), "prints")
+    prints = cut(slim.mapInArrow(run, schema), "docprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    nodes = cut(prints.groupBy("fp").agg(F.min("row").alias("node"), first), "prints")
     roots = components(wide_links(nodes.select("node", "fp"), budget, wide))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    dropped = cut(marked.select(row).join(kept, row, "left_anti"), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    return marked.join(F.broadcast(dropped) if few else dropped, row, "left_anti").select("doc.*")
+    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col(f"first.{key}").alias(key), F.lit(True).alias("stays"))
+    rows = cut(prints.groupBy(key).agg(F.count("*").alias("n")).join(kept, key, "left").where("stays is null or n > 1"), "dropped")
+    gone, again = rows.select(key), rows.where("stays").select(key)  # one of several equal rows comes back
+
+    def sized(some: DataFrame) -> DataFrame:
+        return F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+
+    left = keyed.join(sized(gone), key, "left_anti").select(fields)
+    if again.isEmpty():
+        return left
+    back = keyed.join(sized(again), key, "left_semi").groupBy(key).agg(F.min(F.struct(fields)).alias("doc")).select("doc.*")
+    return left.unionByName(back)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
