@@ -80,15 +80,16 @@ def _labels(r: np.ndarray, c: np.ndarray, v: np.ndarray, size: int) -> np.ndarra
         label = least
 
 
-def connect(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b), by alternating star steps.
 
     Large-star ties the neighbours above a node to the least around it, small-star those
-    below; each round's edges are written to the shared folder.
+    below; each round's edges are written to the shared folder.  Rounds go on until one changes
+    nothing, some logarithm of the longest chain.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -99,7 +100,6 @@ def connect(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(floor.select("u", F.col("m").alias("v")))
         edges = cut(down.where("u <> v").distinct(), "links")
-    raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
 
 
 def shapes(cells: DataFrame, value: str | None = None) -> DataFrame:
