@@ -1,6 +1,6 @@
 """The engine's questions, batched: DataFrames of questions in, DataFrames of answers out.
 
-Errors are a ``status`` column (ok, outside, night, no_route, no_snap), never a failed job.
+Errors are a ``status`` column (ok, outside, night, no_route, no_snap, same_spot, refused), never a failed job.
 ``skylines`` is what ``operators.horizon.sweep`` makes, with canopy and covered flags and the
 land cover: row, col, q, q_felled, blocker, canopy, covered.
 """
@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.city import City
-from umbra.functions.projection import to_utm
+from umbra.functions.projection import from_utm, to_utm
 from umbra.functions.sun import solar_position_udf
 from umbra.operators import binning, horizon, lines, network, regions, shade
+from umbra.plans import ladder
 
 ZONE_SPACING, ZONE_LIMIT, MAJORITY, SNAP_REACH = 10.0, 50, 0.5, 400.0
 
@@ -100,22 +101,99 @@ def _zones_until(samples: DataFrame, shaded: DataFrame, city: City) -> DataFrame
     return steps.where(F.col("night") | (F.col("fraction") < MAJORITY)).groupBy("id", "zone").agg(F.min("ts").alias("shaded_until"))
 
 
+def _snapped(questions: DataFrame, segs: DataFrame) -> DataFrame:
+    """Questions whose two ends (x_a, y_a, x_b, y_b) lie within reach of the network, with the places there."""
+    for end in "ab":
+        asked = questions.select(F.col("id").alias("point"), F.col(f"x_{end}").alias("x"), F.col(f"y_{end}").alias("y"))
+        place = lines.snap(asked, segs, SNAP_REACH, "edge").select(F.col("point").alias("id"), F.col("edge").cast("int").alias(f"edge_{end}"), F.col("s").alias(f"s_{end}"), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
+        questions = questions.drop(f"x_{end}", f"y_{end}").join(place, "id")
+    return questions
+
+
+def _both_tastes(ready: DataFrame) -> DataFrame:
+    both = F.array(F.struct("alpha", "beta"), F.struct(F.lit(0.0).alias("alpha"), F.lit(0.0).alias("beta")))
+    return ready.withColumn("_t", F.explode(F.array_distinct(both))).withColumn("alpha", F.col("_t.alpha")).withColumn("beta", F.col("_t.beta")).drop("_t")
+
+
 def shaded_routes(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vertices: DataFrame, alternatives: bool = False) -> DataFrame:
     """For questions (id, x_a, y_a, x_b, y_b, alpha, beta): the shaded and the shortest way, or all alternatives.
 
+    ``edges`` has fixed sun and veg shares; ``routes_at`` takes them from the ladder.
     Ends further than 400 m from the network give status no_snap.
     """
     segs = lines.segments(vertices, "line").withColumnRenamed("line", "edge")
-    snapped = {}
-    for end in "ab":
-        asked = questions.select(F.col("id").alias("point"), F.col(f"x_{end}").alias("x"), F.col(f"y_{end}").alias("y"))
-        snapped[end] = lines.snap(asked, segs, SNAP_REACH, "edge").select(F.col("point").alias("id"), F.col("edge").cast("int").alias(f"edge_{end}"), F.col("s").alias(f"s_{end}"))
-    ready = questions.join(snapped["a"], "id").join(snapped["b"], "id").withColumnRenamed("id", "query")
-    if alternatives:
-        asked = network.spread_alphas(ready)
-    else:
-        both = F.array(F.struct("alpha", "beta"), F.struct(F.lit(0.0).alias("alpha"), F.lit(0.0).alias("beta")))
-        asked = ready.withColumn("_t", F.explode(F.array_distinct(both))).withColumn("alpha", F.col("_t.alpha")).withColumn("beta", F.col("_t.beta")).drop("_t")
-    found = network.routes(asked, nodes, edges)
+    ready = _snapped(questions, segs).withColumnRenamed("id", "query")
+    found = network.routes(network.spread_alphas(ready) if alternatives else _both_tastes(ready), nodes, edges).drop("spans")
     lost = questions.join(ready.select(F.col("query").alias("id")), "id", "left_anti").select(F.col("id").alias("query"), F.col("alpha").cast("double").alias("alpha"), F.lit("no_snap").alias("status"))
     return found.unionByName(lost, allowMissingColumns=True)
+
+
+MOST_TASTE = 10.0
+
+
+def routes_at(questions: DataFrame, nodes: DataFrame, edges: DataFrame, vertices: DataFrame, fractions: DataFrame, city: City, alternatives: bool = False) -> DataFrame:
+    """Walks at an instant: (id, kind, status, alpha, beta, azimuth, elevation, length, sun_length, sun_fraction, veg_length, points, segments).
+
+    ``questions``: id, lat_a, lon_a, lat_b, lon_b, at (UTC), alpha, beta; ``edges``: edge, u, v,
+    len; ``vertices``: line (the edge), i, x, y; ``fractions``: edge, column, sun_q, veg_q by
+    the ladder's columns.  Every question has a row of kind shaded and one of kind shortest,
+    or, with ``alternatives``, one for each way worth a choice.  ``points`` are (lon, lat) from
+    start to end, ``segments`` the pieces by edge with their shares.
+
+    status: ok; night (no sun to avoid: both are the shortest way); same_spot (length 0);
+    no_route; no_snap (an end over 400 m off the network); outside (an end off the map);
+    refused (alpha or beta not within 0 to 10, or beta above alpha) - the last four have no way.
+    """
+    asked = questions.withColumn("alpha", F.col("alpha").cast("double")).withColumn("beta", F.col("beta").cast("double"))
+    inside = F.lit(True)
+    for end in "ab":
+        x, y = to_utm(F.col(f"lon_{end}"), F.col(f"lat_{end}"), city.utm_zone)
+        asked = asked.withColumn(f"x_{end}", x).withColumn(f"y_{end}", y)
+        inside = inside & F.col(f"x_{end}").between(city.bbox[0], city.bbox[2]) & F.col(f"y_{end}").between(city.bbox[1], city.bbox[3])
+    sane = F.col("alpha").between(0, MOST_TASTE) & F.col("beta").between(0, MOST_TASTE) & (F.col("beta") <= F.col("alpha"))
+    asked = _sunlit(asked.withColumn("lat", F.col("lat_a")).withColumn("lon", F.col("lon_a")), "at").withColumn("_refusal", F.when(~F.coalesce(sane, F.lit(False)), "refused").when(~F.coalesce(inside, F.lit(False)), "outside"))
+    segs = lines.segments(vertices, "line").withColumnRenamed("line", "edge")
+    ready = ladder.columns_at(_snapped(asked.where("_refusal is null"), segs).withColumn("up", F.col("elevation") > 0), "at", city.timezone)
+    if alternatives:  # without a sun there is nothing to trade
+        spread = network.spread_alphas(ready).where("up or alpha = 0").withColumn("kind", F.lit("alternative"))
+    else:
+        tastes = F.array(F.struct(F.lit("shaded").alias("kind"), "alpha", "beta"), F.struct(F.lit("shortest").alias("kind"), F.lit(0.0).alias("alpha"), F.lit(0.0).alias("beta")))
+        spread = ready.withColumn("_t", F.explode(tastes)).withColumn("kind", F.col("_t.kind")).withColumn("alpha", F.col("_t.alpha")).withColumn("beta", F.col("_t.beta")).drop("_t")
+    # Walks get a number that several joins read: they are written once.
+    keyed = regions.cut(spread.withColumn("query", F.monotonically_increasing_id()), "asked")
+    found = regions.cut(network.routes(keyed, nodes, edges, fractions), "routes")
+    walks = keyed.drop("alpha").join(found, "query")
+    if alternatives:
+        ways = network.distinct_routes(walks.drop("query").withColumnRenamed("id", "query"))
+        front = network.pareto(ways).select(F.col("query").alias("id"), F.explode("front.alpha").alias("alpha"))
+        walks = walks.join(front, ["id", "alpha"], "left_semi").unionByName(walks.where("status <> 'ok' and alpha = 0"))
+    total = F.col("total")
+    spans = (
+        walks.select("query", "up", "low_column", "high_column", "share", F.posexplode("spans").alias("k", "span")).select("*", "span.*").drop("span")
+        .join(edges.select("edge", F.col("len").cast("double").alias("total")), "edge")
+    )
+    mixed = lambda c: lines.lerp(F.col(f"low.{c}") / 255, F.col(f"high.{c}") / 255, F.col("share")).cast("double")
+    told = fractions.select("edge", "column", "sun_q", "veg_q")
+    shares = (
+        spans.join(told.select("edge", F.col("column").alias("low_column"), F.struct("sun_q", "veg_q").alias("low")), ["edge", "low_column"], "left")
+        .join(told.select("edge", F.col("column").alias("high_column"), F.struct("sun_q", "veg_q").alias("high")), ["edge", "high_column"], "left")
+        .select("query", "k", F.abs(F.col("s_to") - F.col("s_from")).alias("length"), F.when(F.col("up"), F.coalesce(mixed("sun_q"), F.lit(1.0))).otherwise(0.0).alias("sun"), F.when(F.col("up"), F.coalesce(mixed("veg_q"), F.lit(0.0))).otherwise(0.0).alias("veg"))
+    )
+    pieces = lines.clip(spans.select("query", "k", "edge", "s_from", "s_to", total.alias("total")), segs, ["query", "k"], "edge").join(shares, ["query", "k"])
+    lonlat = lambda p: F.struct(*[c.alias(n) for c, n in zip(from_utm(p["x"], p["y"], city.utm_zone), ("lon", "lat"), strict=True)])
+    pieces = pieces.withColumn("points", F.transform("points", lonlat))
+    legs = pieces.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("k", "length", "sun", "veg", "points"))).alias("segments"))
+    # A joint is told once: every piece but the first leaves out its first point.
+    path = F.flatten(F.transform("segments", lambda s, i: F.when(i == 0, s["points"]).otherwise(F.slice(s["points"], 2, F.greatest(F.size(s["points"]) - 1, F.lit(0))))))
+    legs = legs.select("query", path.alias("points"), F.transform("segments", lambda s: s.dropFields("k")).alias("segments"))
+    spot = F.struct(*[c.alias(n) for c, n in zip(from_utm(F.col("x_a"), F.col("y_a"), city.utm_zone), ("lon", "lat"), strict=True)])
+    status = F.when(F.col("status").isin("ok", "same_spot") & ~F.col("up"), "night").otherwise(F.col("status"))
+    answers = walks.join(legs, "query", "left").select(
+        "id", "kind", status.alias("status"), "alpha", "beta", F.bround("azimuth", 2).alias("azimuth"), F.bround("elevation", 2).alias("elevation"), "length", "sun_length",
+        F.when(F.col("length") > 0, F.col("sun_length") / F.col("length")).when(F.col("length") == 0, 0.0).alias("sun_fraction"), "veg_length",
+        F.when(F.size("spans") == 0, F.array(spot, spot)).otherwise(F.col("points")).alias("points"),
+        F.when(F.size("spans") == 0, F.array().cast(legs.schema["segments"].dataType)).otherwise(F.col("segments")).alias("segments"))
+    kept = asked.join(keyed.select("id"), "id", "left_anti").withColumn("status", F.coalesce("_refusal", F.lit("no_snap")))
+    kinds = F.array(*map(F.lit, ["alternative"] if alternatives else ["shaded", "shortest"]))
+    lost = kept.select("id", F.explode(kinds).alias("kind"), "status", "alpha", "beta", F.bround("azimuth", 2).alias("azimuth"), F.bround("elevation", 2).alias("elevation"))
+    return answers.unionByName(lost, allowMissingColumns=True)

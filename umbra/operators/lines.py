@@ -49,7 +49,7 @@ def on_segment(px: Column, py: Column) -> tuple[Column, Column]:
 
 
 def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line") -> DataFrame:
-    """(point, line, seg, s, distance): the nearest segment within ``reach``; equal: lowest line, then segment.
+    """(point, line, seg, s, distance, x, y): the nearest place within ``reach``; equal: lowest line, then segment.
 
     Segments go to the square buckets (as wide as the reach) that their box, grown by the
     reach, meets; a point looks in its own bucket, so this is an equi-join.
@@ -60,8 +60,33 @@ def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line") ->
     placed = points.select("point", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("bx", F.floor(F.col("px") / reach)).withColumn("by", F.floor(F.col("py") / reach))
     t, square = on_segment(F.col("px"), F.col("py"))
     near = placed.join(spread, ["bx", "by"]).withColumn("t", t).withColumn("square", square).where(F.col("square") <= reach * reach)
-    best = near.groupBy("point").agg(F.min(F.struct("square", key, "seg", (F.col("arc0") + F.col("t") * F.col("len")).alias("s"))).alias("b"))
-    return best.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"))
+    best = near.groupBy("point").agg(F.min(F.struct("square", key, "seg", (F.col("arc0") + F.col("t") * F.col("len")).alias("s"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))).alias("b"))
+    return best.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"), "b.x", "b.y")
+
+
+def clip(spans: DataFrame, segs: DataFrame, keys: list[str], key: str = "line") -> DataFrame:
+    """(keys, points): the piece of a line between two places of it, from ``s_from`` to ``s_to`` as walked.
+
+    ``spans``: keys, line, s_from, s_to, total (the length the places are measured in, which
+    may be rounded: the arcs are stretched to it).  Ends that fall on vertices are those
+    vertices.  An equi-join on the line; what is gathered is one piece.
+    """
+    own = W.partitionBy(key)
+    arcs = segs.withColumn("_sum", F.sum("len").over(own))
+    low, high = F.least("s_from", "s_to"), F.greatest("s_from", "s_to")
+    stretch = F.col("total") / F.nullif(F.col("_sum"), F.lit(0.0))
+    met = (
+        spans.join(arcs, key).withColumn("_low", low).withColumn("_high", high)
+        .withColumn("_a", F.col("arc0") * stretch).withColumn("_b", F.when(F.abs(F.col("arc0") + F.col("len") - F.col("_sum")) < 1e-9, F.col("total")).otherwise((F.col("arc0") + F.col("len")) * stretch))
+        .where("_a < _high and _b > _low")
+    )
+    along = lambda s: F.coalesce((s - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)), F.lit(0.0))
+    inside = lambda s, a, b: F.when(s >= F.col("_b"), b).otherwise(a + (b - a) * along(s))
+    at = lambda s: F.struct(inside(s, F.col("x1"), F.col("x2")).alias("x"), inside(s, F.col("y1"), F.col("y2")).alias("y"))
+    parts = met.select(*keys, "s_from", "s_to", "seg", at(F.greatest("_a", "_low")).alias("first"), at(F.least("_b", "_high")).alias("last"))
+    whole = parts.groupBy(*keys).agg(F.any_value(F.col("s_from") > F.col("s_to")).alias("back"), F.array_sort(F.collect_list(F.struct("seg", "first", "last"))).alias("p"))
+    points = F.array_append(F.transform("p", lambda x: x["first"]), F.element_at("p", -1)["last"])
+    return whole.select(*keys, F.when(F.col("back"), F.reverse(points)).otherwise(points).alias("points"))
 
 
 def near(points: DataFrame, others: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:

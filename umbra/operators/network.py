@@ -160,39 +160,68 @@ class Graph:
         return [s for s in spans if abs(s[1] - s[2]) >= 1e-9]
 
 
-ROUTE = "query long, alpha double, status string, edges array<int>, cost double, length double, sun_length double, veg_length double"
+SPANS = "array<struct<edge:int,s_from:double,s_to:double>>"
+ROUTE = f"query long, alpha double, status string, edges array<int>, cost double, length double, sun_length double, veg_length double, spans {SPANS}"
+MOST_BYTES = 1 << 30
 
 
-def routes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, most_edges: int = 20_000_000) -> DataFrame:
-    """For every query and alpha the least costly way.
+def exposures(fractions: DataFrame, n_edges: int) -> np.ndarray:
+    """(2, columns, edges) bytes: sun and crown shares of every edge at every column; what is not told is sun."""
+    told = fractions.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("column", "sun_q", "veg_q"))).alias("c")).select("edge", *[F.col(f"c.{n}").alias(n) for n in ("column", "sun_q", "veg_q")]).toArrow()
+    flat = {n: told[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(int) for n in ("column", "sun_q", "veg_q")}
+    edge = np.repeat(told["edge"].to_numpy().astype(int), [len(c) for c in told["column"]])
+    out = np.zeros((2, int(flat["column"].max(initial=0)) + 1, n_edges), np.uint8)
+    out[0] = 255
+    for plane, name in enumerate(("sun_q", "veg_q")):
+        out[plane, flat["column"], edge] = flat[name]
+    return out
 
-    ``queries``: query, edge_a, s_a, edge_b, s_b, x_b, y_b, alpha, beta; ``edges``: edge, u, v,
-    len, sun, veg.  The graph of a city goes to every executor; its size is counted first
-    (a city has some 10**5 edges) and a larger one is refused.
+
+def at_share(plane: np.ndarray, low: int, high: int, share: float) -> np.ndarray:
+    """One exposure between two columns, in single precision."""
+    one, w = np.float32(1 / 255), np.float32(share)
+    return (np.float32(1) - w) * (plane[low].astype(np.float32) * one) + w * (plane[high].astype(np.float32) * one)
+
+
+def routes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, fractions: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """For every query and alpha the least costly way, as edges and as spans (edge, from, to) in walking order.
+
+    ``queries``: query, edge_a, s_a, edge_b, s_b, x_b, y_b (of the place on the network),
+    alpha, beta; ``edges``: edge (0, 1, ...), u, v, len, and either sun and veg, or
+    ``fractions`` (edge, column, sun_q, veg_q) for queries with low_column, high_column,
+    share and up (at night nothing is in sun or under crowns).
+
+    The graph of a city goes to every executor.  Its bytes are counted first (a city has some
+    10**5 edges and 83 columns: 20 MB) and a larger one is refused.
     """
-    n = edges.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges are too many for one task's memory; split the network by city")
-    sc = queries.sparkSession.sparkContext
-    graph = sc.broadcast((nodes.toPandas(), edges.toPandas()))
+    n_edges, n_nodes = edges.count(), nodes.count()
+    columns = 0 if fractions is None else (fractions.agg(F.max("column")).first()[0] or 0) + 1
+    size = n_edges * (48 + 2 * columns) + n_nodes * 24
+    if size > most_bytes:
+        raise ValueError(f"a network of {size} bytes is too much for one task's memory; split it by city")
+    graph = queries.sparkSession.sparkContext.broadcast((nodes.select("id", "x", "y").toPandas(), edges.toPandas(), None if fractions is None else exposures(fractions, n_edges)))
+    names = [c.split()[0] for c in ROUTE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node_rows, edge_rows = graph.value
+        node_rows, edge_rows, planes = graph.value
         g = Graph(node_rows, edge_rows)
         by = edge_rows.sort_values("edge")
-        sun, veg = by["sun"].to_numpy(float), by["veg"].to_numpy(float)
-        other = np.clip(1 - sun - veg, 0, 1)
+        dark = np.zeros(len(by))
+        sun, veg = (by["sun"].to_numpy(float), by["veg"].to_numpy(float)) if planes is None else (dark, dark)
         for batch in batches:
             out = []
             for q in batch.itertuples():
-                cost = g.length * (1 + q.alpha * sun + q.beta * other)
+                if planes is not None:
+                    sun, veg = (at_share(p, q.low_column, q.high_column, q.share).astype(float) for p in planes) if q.up else (dark, dark)
+                cost = g.length * (1 + q.alpha * sun + q.beta * np.clip(1 - sun - veg, 0, 1))
                 spans = g.between((q.edge_a, q.s_a), (q.edge_b, q.s_b), cost, (q.x_b, q.y_b))
                 if spans is None:
-                    out.append((q.query, q.alpha, "no_route", None, None, None, None, None))
+                    out.append((q.query, q.alpha, "no_route", None, None, None, None, None, None))
                     continue
                 walked = [(e, abs(s - t)) for e, s, t in spans]
-                out.append((q.query, q.alpha, "ok" if spans else "same_spot", [e for e, _ in walked], sum(w * cost[e] / g.length[e] for e, w in walked), sum(w for _, w in walked), sum(w * sun[e] for e, w in walked), sum(w * veg[e] for e, w in walked)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROUTE.split(", ")])
+                told = [{"edge": int(e), "s_from": float(s), "s_to": float(t)} for e, s, t in spans]
+                out.append((q.query, q.alpha, "ok" if spans else "same_spot", [e for e, _ in walked], sum(w * cost[e] / g.length[e] for e, w in walked), sum(w for _, w in walked), sum(w * sun[e] for e, w in walked), sum(w * veg[e] for e, w in walked), told))
+            yield pd.DataFrame(out, columns=names)
 
     return queries.mapInPandas(run, ROUTE)
 
@@ -205,8 +234,10 @@ def spread_alphas(queries: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> Dat
 
 
 def distinct_routes(found: DataFrame) -> DataFrame:
-    """Of equal ways the one with the smallest alpha."""
-    w = W.partitionBy("query", "edges", F.round("length", 3)).orderBy("alpha")
+    """Of equal ways (the same spans, to the millimetre) the one with the smallest alpha."""
+    mm = lambda c: F.round(c, 3)
+    same = F.transform("spans", lambda x: F.struct(x["edge"].alias("edge"), mm(x["s_from"]).alias("s_from"), mm(x["s_to"]).alias("s_to")))
+    w = W.partitionBy("query", same).orderBy("alpha")
     return found.where("status = 'ok'").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

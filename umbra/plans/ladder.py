@@ -56,3 +56,22 @@ def rung_of(rows: DataFrame, day: str, covers_: DataFrame) -> DataFrame:
     dated = rows.withColumn("_day", ladder_date(F.col(day), YEAR))
     ranges = F.broadcast(covers_.select("rung", "start", "end"))  # under twenty ranges
     return dated.join(ranges, (F.col("_day") >= F.col("start")) & (F.col("_day") <= F.col("end"))).drop("_day", "start", "end")
+
+
+def columns_at(rows: DataFrame, at: str, zone: str) -> DataFrame:
+    """Adds low_column, high_column and share: where an instant (UTC) lies between the hours of its date's rung.
+
+    Before the first hour and after the last that hour holds alone.
+    """
+    spark = rows.sparkSession
+    hours = instants(spark, zone).groupBy("rung").agg(F.array_sort(F.collect_list(F.struct((F.col("hour") * 60.0).alias("minute"), F.col("column").alias("column")))).alias("_hours"))
+    local = rows.withColumn("_local", F.from_utc_timestamp(at, zone))
+    met = rung_of(local.withColumn("_date", F.col("_local").cast("date")), "_date", covers(assigned_days(spark))).join(F.broadcast(hours), "rung")  # seven rows
+    minute = F.hour("_local") * 60.0 + F.minute("_local") + F.floor(F.second("_local")) / 60.0
+    met = met.withColumn("_m", minute)
+    low = F.element_at(F.filter("_hours", lambda h: h["minute"] <= F.col("_m")), -1)
+    high = F.get(F.filter("_hours", lambda h: h["minute"] > F.col("_m")), F.lit(0))
+    met = met.withColumn("_low", F.when(F.exists("_hours", lambda h: h["minute"] <= F.col("_m")), low)).withColumn("_high", high)
+    low, high = F.coalesce("_low", "_high"), F.coalesce("_high", "_low")
+    share = F.when(high["minute"] > low["minute"], (F.col("_m") - low["minute"]) / (high["minute"] - low["minute"])).otherwise(0.0)
+    return met.select(*rows.columns, "rung", low["column"].cast("int").alias("low_column"), high["column"].cast("int").alias("high_column"), share.cast("double").alias("share"))
