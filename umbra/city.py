@@ -13,6 +13,10 @@ from zoneinfo import ZoneInfo
 from umbra.functions.grid import Grid
 
 _LINE = re.compile(r"^([a-z_]+):\s*(.*?)\s*(?:#.*)?$")
+#: A value alone on the line under its key: no list item and no key of its own.
+_UNDER = re.compile(r"^\s+(?!-\s)([^\s#:]+(?::[^\s#:]+)?)\s*(?:#.*)?$")
+#: Fixed by the input: what city files call the fields.
+NAMES = {"resolution_m": "resolution", "horizon_sectors": "sectors", "horizon_max_distance_m": "reach"}
 PROTECTED = ("id", "bbox", "area")
 
 
@@ -58,10 +62,36 @@ def scalar(text: str):
     return text.strip("'\"")
 
 
+def zone_of(crs: str) -> int:
+    """The UTM zone, north, of an EPSG code: ETRS89 (25828 to 25838) or WGS84 (32601 to 32660)."""
+    m = re.fullmatch(r"(?:EPSG:)?(\d+)", str(crs).strip("'\""), re.IGNORECASE)
+    code = int(m[1]) if m else 0
+    for base, zones in ((25800, range(28, 39)), (32600, range(1, 61))):
+        if code - base in zones:
+            return code - base
+    raise ValueError(f"{crs} is not a UTM zone of the northern half")
+
+
 def read_city(path: str | Path) -> City:
-    """From the flat part of a YAML file: top-level scalars and one-line lists."""
+    """From the flat part of a YAML file: top-level scalars and one-line lists; what it doesn't know it leaves.
+
+    A value may stand alone on the line under its key; ``crs`` gives the zone.
+    """
     known = {f.name for f in dataclasses.fields(City)}
-    found = {m[1]: scalar(m[2]) for line in Path(path).read_text().splitlines() if (m := _LINE.match(line)) and m[1] in known}
+    found, crs, open_key = {}, None, None
+    for line in Path(path).read_text().splitlines():
+        m = _LINE.match(line)
+        key, text = (m[1], m[2]) if m else (open_key, under[1]) if open_key and (under := _UNDER.match(line)) else (None, None)
+        open_key = key if m and not m[2] else open_key if not line.strip() or line.lstrip().startswith("#") else None
+        if key == "crs" and text:
+            crs = text
+        elif key and (name := NAMES.get(key, key)) in known:
+            found[name] = scalar(text)
+    if crs is not None:
+        found.setdefault("utm_zone", zone_of(crs))
+    missing = [f.name for f in dataclasses.fields(City) if f.default is dataclasses.MISSING and f.name not in found]
+    if missing:
+        raise ValueError(f"{path}: {', '.join(missing)} missing")
     return City(**found)
 
 

@@ -7,27 +7,38 @@ land cover: row, col, q, q_felled, blocker, canopy, covered.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from umbra.city import City
 from umbra.functions.projection import from_utm, to_utm
 from umbra.functions.sun import solar_position_udf
-from umbra.operators import binning, horizon, lines, network, regions, shade
+from umbra.operators import binning, horizon, lines, network, polygons, regions, shade
 from umbra.plans import ladder
 
 ZONE_SPACING, ZONE_LIMIT, MAJORITY, SNAP_REACH = 10.0, 50, 0.5, 400.0
 
 
-def build(points: DataFrame, city: City, footprints: DataFrame | None = None, tile: int = 256) -> DataFrame:
-    """From points to skylines of every cell: bin, fill, footprints, declutter, sweep, canopy."""
+def build(points: DataFrame, city: City, footprints: DataFrame | None = None, tile: int = 256, area: DataFrame | None = None) -> DataFrame:
+    """From points to skylines of every covered cell: bin, fill, footprints, declutter, sweep, canopy.
+
+    ``area``: polygons (id, rings of lon, lat as x, y).  Cells with their centre in none of them
+    cast shade but have no skyline, and tiles without a covered cell are not swept.
+    """
     grid = city.grid
     binned = binning.bin_points(points, grid)
     cells = binning.finish_cells(binned, binning.fill_terrain(binned, grid))
     if footprints is not None:
         cells = binning.footprint_override(cells, footprints)
         cells = regions.declutter(cells.withColumn("built", F.col("footprint").isNotNull()).drop("footprint", "chm"))
-    cells = regions.cut(cells.select("row", "col", "dsm", "dtm", "landcover"), "cells")
+    cells = cells.select("row", "col", "dsm", "dtm", "landcover")
+    if area is not None:
+        metres = lambda p: F.struct(*[c.alias(n) for c, n in zip(to_utm(p["x"], p["y"], city.utm_zone), "xy", strict=True)])
+        inside = polygons.rasterise(area.select("id", F.transform("rings", lambda ring: F.transform(ring, metres)).alias("rings")), grid)
+        cells = cells.join(inside.select("row", "col", F.lit(True).alias("covered")), ["row", "col"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    cells = regions.cut(cells, "cells")
     datum = binning.height_datum(cells).first()["datum"] or 0.0
     sky = horizon.sweep(cells, city.sectors, city.reach, city.resolution, tile, datum)
     crowns = regions.canopy(cells).select("row", "col", F.lit(True).alias("canopy"))
@@ -58,12 +69,23 @@ def shade_at(questions: DataFrame, skylines: DataFrame, city: City) -> DataFrame
         F.bround("azimuth", 2).alias("azimuth"), F.bround("elevation", 2).alias("elevation"), shade.caveats(F.array("shade_type")).alias("caveats"))
 
 
-def timeline(questions: DataFrame, skylines: DataFrame, city: City, step_minutes: int = 5) -> DataFrame:
-    """Runs of sun and shade of each local day: (id, state, shade_type, start, end, n) from (id, lat, lon, day)."""
+def timeline(questions: DataFrame, skylines: DataFrame, city: City, step_minutes: int = 5, now: dt.datetime | None = None) -> DataFrame:
+    """Runs of sun and shade of each local day: (id, status, state, shade_type, start, end, n, shaded_until) from (id, lat, lon, day).
+
+    A place off the map has one row of status outside.  ``now`` (UTC) tells until when the
+    shade lasts that holds it, for days that are today; other days have no shaded_until.
+    """
     # Each place meets its skyline once; its samples are spread after that, inside the stage.
-    known = _placed(questions, city).join(skylines.where("covered"), ["row", "col"])
+    placed = _placed(questions, city)
+    known = placed.join(skylines.where("covered"), ["row", "col"])
     judged = shade.verdict(shade.read_skyline(_sunlit(shade.day_samples(known, city.timezone, step_minutes), "ts"), city.sectors))
-    return shade.intervals(judged, ["id"], ["state", "shade_type"], step=f"INTERVAL {step_minutes} MINUTES", night=F.col("state") == "night")
+    runs = shade.intervals(judged, ["id"], ["state", "shade_type"], step=f"INTERVAL {step_minutes} MINUTES", night=F.col("state") == "night")
+    if now is None:
+        runs = runs.withColumn("shaded_until", F.lit(None).cast("timestamp"))
+    else:  # only the runs of today hold the present
+        runs = runs.join(shade.shaded_until(runs, ["id"], F.lit(now).cast("timestamp")), "id", "left")
+    outside = placed.join(skylines.where("covered").select("row", "col"), ["row", "col"], "left_anti").select("id", F.lit("outside").alias("status"))
+    return runs.withColumn("status", F.lit("ok")).select("id", "status", "state", "shade_type", "start", "end", "n", "shaded_until").unionByName(outside, allowMissingColumns=True)
 
 
 def parking_nearby(questions: DataFrame, zones: DataFrame, skylines: DataFrame, city: City, radius: float = 300.0) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.functions.angles import MAX_ANGLE, NO_BLOCKER, TOP, VEGETATION, slope_angle
+from umbra.functions.angles import BUILDING, MAX_ANGLE, NO_BLOCKER, TOP, VEGETATION, slope_angle
 from umbra.operators.rays import OFFSETS, offset_rows, ray_cells
 
 EYE = 1.6
@@ -80,6 +80,22 @@ def first_blocker(cells: DataFrame, azimuth: float, elevation: float, reach: flo
     return cells.select("row", "col").join(walk, ["row", "col"], "left").select("row", "col", F.col("hit.landcover").alias("blocker"))
 
 
+def march_blocker(cells: DataFrame, skylines: DataFrame, azimuth: float, elevation: float, sectors: int, reach: float, res: float, digits: int | None = None) -> DataFrame:
+    """(row, col, blocker): what the walk towards the sun meets first, a crown or a building; null if neither.
+
+    Where that walk names nothing, the one along the sector that lifts the skyline there
+    answers: of the two beside the sun the higher, equal: the lower number.  ``skylines``: row, col, q.
+    """
+    named = lambda at, name: first_blocker(cells, at, elevation, reach, res, digits).select("row", "col", F.when(F.col("blocker").isin(BUILDING, VEGETATION), F.col("blocker")).alias(name))
+    width = 360.0 / sectors
+    low = int((azimuth % 360.0) / width) % sectors
+    high = (low + 1) % sectors
+    raised = skylines.select("row", "col", (F.get("q", F.lit(low)) >= F.get("q", F.lit(high))).alias("lower"))
+    met = named(azimuth, "own").join(raised, ["row", "col"], "left").join(named(low * width, "below"), ["row", "col"]).join(named(high * width, "above"), ["row", "col"])
+    beside = F.when(F.col("lower"), F.col("below")).when(~F.col("lower"), F.col("above"))
+    return met.select("row", "col", F.coalesce("own", beside).alias("blocker"))
+
+
 def sweep(cells: DataFrame, sectors: int, reach: float, res: float, tile: int = 256, datum: float = 0.0) -> DataFrame:
     """row, col, q, q_felled, blocker: arrays over the sectors, quantised, for every covered cell.
 

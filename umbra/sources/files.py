@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from umbra.city import City
+from umbra.functions.projection import central_meridian, utm_zone
 from umbra.operators.polygons import RINGS, polygon_area
 
 
@@ -39,6 +43,49 @@ def area(spark: SparkSession, path: str) -> DataFrame:
     return rings.withColumn("rings", F.when(degrees, F.col("rings")).otherwise(F.raise_error(F.lit("coordinates are not degrees"))))
 
 
+def area_of_use(polygons: DataFrame, zone: int) -> DataFrame:
+    """One row (west, south, east, north, ok, zone) for polygons in degrees: whether a UTM zone, north, holds them.
+
+    Projecting outside a zone does not fail, it gives numbers; ``zone`` is the one that the middle belongs to.
+    """
+    corner = polygons.select(F.explode(F.flatten("rings")).alias("p")).agg(F.min("p.x").alias("west"), F.min("p.y").alias("south"), F.max("p.x").alias("east"), F.max("p.y").alias("north"))
+    middle = central_meridian(zone)
+    ok = F.col("west").between(middle - 3, middle + 3) & F.col("east").between(middle - 3, middle + 3) & F.col("south").between(0, 84) & F.col("north").between(0, 84)
+    return corner.select("*", F.coalesce(ok, F.lit(False)).alias("ok"), utm_zone((F.col("west") + F.col("east")) / 2).alias("zone"))
+
+
+def trees(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(file, x, y) of the points of tree inventories (feature collections, one a file), within a box if one is given.
+
+    Other geometries are passed over; a file that is no feature collection (an answer that
+    reports an error) is refused.
+    """
+    shape = "type string, features array<struct<geometry:struct<type:string,coordinates:string>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", shape).alias("g"))
+    features = F.when(F.col("g.features").isNotNull(), F.col("g.features")).otherwise(F.raise_error(F.concat(F.col("file"), F.lit(": no feature collection"))))
+    points = whole.select("file", F.explode(features).alias("f")).where("f.geometry.type = 'Point'").select("file", F.from_json("f.geometry.coordinates", "array<double>").alias("c"))
+    found = points.select("file", F.get("c", F.lit(0)).alias("x"), F.get("c", F.lit(1)).alias("y")).where("x is not null and y is not null")
+    return found if box is None else found.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
+
+
+def write_metadata(path: str, city: City, built_at: dt.datetime, **more) -> str:
+    """What is needed to trust a build: the city's numbers, its digest, and what the caller adds; written whole or not at all."""
+    body = {"city_id": city.id, "built_at": built_at.isoformat(), "zone": city.utm_zone, "bbox": list(city.bbox), "resolution_m": city.resolution, "sectors": city.sectors, "reach_m": city.reach, "digest": city.digest}
+    text = json.dumps(body | {k: v for k, v in more.items() if v is not None}, indent=1, sort_keys=True)
+    half = Path(path).with_suffix(".half")
+    half.write_text(text)
+    half.replace(path)
+    return text
+
+
+METADATA = "city_id string, built_at timestamp, zone int, bbox array<double>, resolution_m double, sectors int, reach_m double, digest string, attribution array<string>"
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row a build from their metadata files; fields that are not known are left out, those not told are null."""
+    return spark.read.schema(METADATA).json(path, multiLine=True)
+
+
 def geojson(polygons: DataFrame, digits: int = 6) -> DataFrame:
     """One JSON Feature a row from (id, rings)."""
     rounded = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(F.bround(p["x"], digits), F.bround(p["y"], digits))))
@@ -124,6 +171,32 @@ def viewer_zones(pages: DataFrame, color: str, icon: str) -> DataFrame:
     return markers.join(lines, ["page", "marker"], "left").select("page", "marker", "name", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), "lines")
 
 
+#: Fixed by the input: how the viewer words a place, and what its two timetables say.
+PLACE_FORMAT = r"^(.+?) (\d+) PLAZAS EN (BATERIA|CORDON) HORARIO: (.+)$"
+TIMETABLES = {
+    "LUNES A VIERNES DE 09:00 A 14:00 HORAS Y 17:00 A 21:00, SABADOS DE 09:00 A 14:00 HORAS, DOMINGOS Y FESTIVOS LIBRES": [("mo-fr", "09:00", "14:00"), ("mo-fr", "17:00", "21:00"), ("sa", "09:00", "14:00")],
+    "LUNES A VIERNES DE 09:00 A 14:00 HORAS, SABADOS, DOMINGOS Y FESTIVOS LIBRES": [("mo-fr", "09:00", "14:00")],
+}
+
+
+def parking_places(zones: DataFrame) -> DataFrame:
+    """Adds status, street, capacity, orientation and schedule (days, opens, closes) from ``name``.
+
+    status: ok, unknown_text or unknown_timetable; what isn't understood is never guessed.
+    """
+    worded = zones.withColumn("_text", plain("name"))
+    part = lambda k: F.regexp_extract("_text", PLACE_FORMAT, k)
+    hours = F.lit(None).cast("array<struct<days:string,opens:string,closes:string>>")
+    for text, spans in TIMETABLES.items():
+        hours = F.when(part(4) == text, F.array(*[F.struct(F.lit(d).alias("days"), F.lit(a).alias("opens"), F.lit(b).alias("closes")) for d, a, b in spans])).otherwise(hours)
+    told = F.coalesce(F.col("_text").rlike(PLACE_FORMAT), F.lit(False))
+    worded = worded.withColumn("schedule", F.when(told, hours))
+    own = lambda c: F.when(told, c)
+    return worded.select(
+        *zones.columns, F.when(~told, "unknown_text").when(F.col("schedule").isNull(), "unknown_timetable").otherwise("ok").alias("status"),
+        own(part(1)).alias("street"), own(part(2).try_cast("int")).alias("capacity"), own(F.lower(part(3))).alias("orientation"), "schedule")
+
+
 def events(spark: SparkSession, path: str) -> DataFrame:
     """Milestones from JSON lines; a half-written last line is dropped."""
     from umbra.streaming.progress import EVENT
