@@ -143,5 +143,5 @@ def with_sql(body: str, *names: str, extra: str = "", recursive: bool = False) -
 
     for n in names:
         add(n)
-    parts = [f"{n} AS ({CTE[n][0]})" for n in done] + ([extra] if extra else [])
+    parts = [f"{n} AS MATERIALIZED ({CTE[n][0]})" for n in done] + ([extra] if extra else [])
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import angles, projection, text
 from umbra.operators import audit, binning, horizon, lines, network, regions, shade
-from umbra.operators.rays import offset_rows, offsets
+from umbra.operators.rays import offset_rows, offsets, ray_cells
 from umbra.plans import chain, cost, derived as d, ladder
 from umbra.plans.derived import GRID, LAT, LON, REACH, SECTORS16, table, with_sql
 
@@ -183,6 +183,30 @@ def ray_march_blocker(spark, sf) -> DataFrame:
     return found.select("row", "col", F.col("blocker").cast("int").alias("blocker"))
 
 
+_SUN = (118.0, 30.0)  #: azimuth and elevation; the sectors beside it are 5 and 6
+
+
+def _marched(rays: str) -> str:
+    """The first of a ray's unbroken cells that reaches the sun's elevation: its kind, if a crown or a building."""
+    return f"""(SELECT row, col, first(landcover ORDER BY ord) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY ord) - 1 AS place FROM
+  (SELECT o.row, o.col, f.ord, f.entry::DOUBLE AS entry, o.dtm::DOUBLE + 1.6::DOUBLE AS eye, t.dsm::DOUBLE AS dsm, t.landcover FROM cells o, {rays} f JOIN cells t ON t.row = o.row + f.d_row AND t.col = o.col + f.d_col))
+  WHERE place = ord AND degrees(atan2(dsm - eye, entry)) >= {_SUN[1]} GROUP BY row, col)"""
+
+
+_RAY = f"ray(ord, d_row, d_col, entry) AS (VALUES {values([(k, r, c, round(e, 6)) for k, (r, c, e, _) in enumerate(ray_cells(_SUN[0], REACH, 1.0))])})"
+
+
+@query(with_sql(f"""
+SELECT c.row, c.col, coalesce(nullif(own.kind, 0), CASE WHEN coalesce(low.code, 0) >= coalesce(high.code, 0) THEN nullif(b5.kind, 0) ELSE nullif(b6.kind, 0) END) AS blocker FROM cells c
+LEFT JOIN (SELECT row, col, {_code('slope')} AS code FROM sky WHERE sector = 5) low ON low.row = c.row AND low.col = c.col LEFT JOIN (SELECT row, col, {_code('slope')} AS code FROM sky WHERE sector = 6) high ON high.row = c.row AND high.col = c.col
+LEFT JOIN {_marched('ray')} own ON own.row = c.row AND own.col = c.col
+LEFT JOIN {_marched('(SELECT * FROM offsets WHERE sector = 5)')} b5 ON b5.row = c.row AND b5.col = c.col LEFT JOIN {_marched('(SELECT * FROM offsets WHERE sector = 6)')} b6 ON b6.row = c.row AND b6.col = c.col""", "cells", extra=f"{_OFFSETS}, {_RAY}, {_SKY}"))
+def ray_march_fallback(spark, sf) -> DataFrame:
+    cells = _eye_cells(spark, sf)
+    sky = horizon.sweep(cells, SECTORS16, REACH, 1.0, tile=16).select("row", "col", "q")
+    return horizon.march_blocker(cells, sky, *_SUN, SECTORS16, REACH, 1.0, 6).select("row", "col", F.col("blocker").cast("int").alias("blocker"))
+
+
 @query(with_sql("SELECT vec_id, sector::INT AS sector, q, round(q * (90.0::DOUBLE / 255), 6) AS angle, round_even(q / 255.0::DOUBLE * 255, 0)::INT AS fraction_q FROM horizon", "horizon"))
 def horizon_quantised(spark, sf) -> DataFrame:
     long = d.skylines(spark, sf).select("vec_id", F.posexplode("q").alias("sector", "code"))
@@ -311,6 +335,18 @@ def rung_for_date(spark, sf) -> DataFrame:
     return o.groupBy("rung").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").cast("decimal(20,2)").cast("double").alias("total"))
 
 
+@query(f"""
+WITH {_LADDER}, hours AS (SELECT rung, h * 60 AS minute, (row_number() OVER (ORDER BY rung, h) - 1)::INT AS "column" FROM rungs, unnest(range(first_hour, last_hour + 1)) AS u(h)),
+local AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS here FROM events),
+asked AS (SELECT event_id, rung, hour(here) * 60 + minute(here) + floor(second(here)) / 60.0::DOUBLE AS m FROM local JOIN covers ON make_date(2026, month(here), CASE WHEN month(here) = 2 AND day(here) = 29 THEN 28 ELSE day(here) END) BETWEEN "start" AND "end"),
+met AS (SELECT event_id, any_value(m) AS m, arg_max("column", minute) FILTER (WHERE minute <= m) AS lc, max(minute) FILTER (WHERE minute <= m) AS lm, arg_min("column", minute) FILTER (WHERE minute > m) AS hc, min(minute) FILTER (WHERE minute > m) AS hm FROM asked JOIN hours USING (rung) GROUP BY event_id)
+SELECT event_id, coalesce(lc, hc) AS low_column, coalesce(hc, lc) AS high_column, round(coalesce((m - lm) / (hm - lm), 0), 6) AS share FROM met""")
+def route_columns(spark, sf) -> DataFrame:
+    """Every event's instant between the hours of its rung."""
+    ev = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return ladder.columns_at(ev, "ts", "Europe/Madrid").select("event_id", "low_column", "high_column", r6("share"))
+
+
 @query("""
 SELECT p.event_id, round(((1::FLOAT - w) * l.value::FLOAT + w * h.value::FLOAT)::FLOAT::DOUBLE, 3) AS value, l.value AS low_value, h.value AS high_value
 FROM (SELECT *, (SELECT 1) AS one FROM events WHERE event_type = 'purchase') p
@@ -431,6 +467,62 @@ def route_batch(spark, sf) -> DataFrame:
     return network.routes(_located(_asked(spark, sf, e), n, e), n, e)
 
 
+@query(with_sql("""
+SELECT q.query, CASE WHEN min(f.cost + (CASE WHEN f.node = b.u THEN b.cost ELSE 0 END)) IS NULL THEN 'no_route' ELSE 'ok' END AS status,
+       round(CASE WHEN q.edge_a = q.edge_b THEN least(any_value(b.cost), min(f.cost + (CASE WHEN f.node = b.u THEN b.cost ELSE 0 END))) ELSE min(f.cost + (CASE WHEN f.node = b.u THEN b.cost ELSE 0 END)) END, 3) AS cost
+FROM asked q JOIN weighed a ON a.edge = q.edge_a JOIN weighed b ON b.edge = q.edge_b
+LEFT JOIN (SELECT source, node, min(cost) AS cost FROM far GROUP BY source, node) f ON f.source = a.u AND f.node IN (b.u, b.v) GROUP BY q.query, q.edge_a, q.edge_b""", "edges", extra="""
+weighed AS (SELECT edge, u, v, len::FLOAT::DOUBLE * (1 + (edge % 11) / 10.0::DOUBLE) AS cost FROM edges),
+arcs AS (SELECT head, tail, min(cost) AS cost FROM (SELECT u AS head, v AS tail, cost FROM weighed UNION ALL SELECT v, u, cost FROM weighed) GROUP BY ALL),
+asked AS (SELECT s_suppkey AS query, (s_suppkey * 7 % (SELECT count(*) FROM edges))::INT AS edge_a, (s_suppkey * 13 % (SELECT count(*) FROM edges))::INT AS edge_b FROM supplier),
+far(hop, source, node, cost) AS (
+  SELECT 0, id, id, 0.0::DOUBLE FROM used
+  UNION ALL SELECT hop + 1, source, tail, min(far.cost + arcs.cost) FROM far JOIN arcs ON arcs.head = far.node WHERE hop < 24 GROUP BY ALL)""", recursive=True))
+def route_costs(spark, sf) -> DataFrame:
+    """The searched ways' costs, held against paths of every number of hops (25 nodes: 24 are enough)."""
+    n, e = _network(spark, sf)
+    return network.routes(_located(_asked(spark, sf, e), n, e), n, e).select("query", F.when(F.col("status") == "no_route", "no_route").otherwise("ok").alias("status"), F.round("cost", 3).alias("cost"))
+
+
+_WAYS = """
+  SELECT o_custkey AS query, o_orderkey AS k, (o_orderkey % 7)::INT AS edge, (o_orderkey % 5)::DOUBLE AS s_from, (floor(o_totalprice)::BIGINT % 9)::DOUBLE AS s_to, (o_orderkey % 6)::DOUBLE AS alpha FROM orders"""
+
+
+@query(f"""
+SELECT query, k, edge, alpha FROM (SELECT *, row_number() OVER (PARTITION BY query, edge, s_from, s_to ORDER BY alpha, k) AS n FROM ({_WAYS})) WHERE n = 1""")
+def distinct_ways(spark, sf) -> DataFrame:
+    """Ways of one span each: of equal ones the smallest alpha."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    spans = F.array(F.struct((k % 7).cast("int").alias("edge"), (k % 5).cast("double").alias("s_from"), (F.floor("o_totalprice").cast("long") % 9).cast("double").alias("s_to")))
+    ways = o.select(F.col("o_custkey").alias("query"), k.alias("k"), F.struct((k % 6).cast("double").alias("taste"), k.alias("k")).alias("alpha"), spans.alias("spans"), F.lit("ok").alias("status"))
+    return network.distinct_routes(ways).select("query", "k", F.get("spans", F.lit(0))["edge"].alias("edge"), F.col("alpha.taste").alias("alpha"))
+
+
+@query(with_sql("""
+SELECT line, k, n::INT AS n, round(len, 5) AS len, round(x1, 5) AS x_first, round(y1, 5) AS y_first, round(x2, 5) AS x_last, round(y2, 5) AS y_last FROM (
+  SELECT line, k, count(*) + 1 AS n, sum(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) AS len,
+         CASE WHEN k = 1 THEN arg_max(bx, seg) ELSE arg_min(ax, seg) END AS x1, CASE WHEN k = 1 THEN arg_max(b_y, seg) ELSE arg_min(ay, seg) END AS y1,
+         CASE WHEN k = 1 THEN arg_min(ax, seg) ELSE arg_max(bx, seg) END AS x2, CASE WHEN k = 1 THEN arg_min(ay, seg) ELSE arg_max(b_y, seg) END AS y2
+  FROM (SELECT line, k, seg, x1 + (x2 - x1) * greatest(0, low - arc0) / len AS ax, y1 + (y2 - y1) * greatest(0, low - arc0) / len AS ay,
+               x1 + (x2 - x1) * least(len, high - arc0) / len AS bx, y1 + (y2 - y1) * least(len, high - arc0) / len AS b_y
+        FROM (SELECT s.*, k, total * 0.2::DOUBLE AS low, total * 0.7::DOUBLE AS high FROM (SELECT *, sum(len) OVER (PARTITION BY line) AS total FROM segments) s, range(2) AS r(k))
+        WHERE len > 0 AND arc0 < high AND arc0 + len > low) GROUP BY line, k)""", "segments"))
+def line_pieces(spark, sf) -> DataFrame:
+    """Every line from a fifth to seven tenths of its length, walked either way."""
+    segs = lines.segments(d.vertices(spark, sf), "line").where("len > 0")
+    totals = segs.groupBy("line").agg(F.sum("len").alias("total"))
+    near_, far_ = F.col("total") * 0.2, F.col("total") * 0.7
+    ways = F.array(F.struct(F.lit(0).cast("long").alias("k"), near_.alias("s_from"), far_.alias("s_to")), F.struct(F.lit(1).cast("long").alias("k"), far_.alias("s_from"), near_.alias("s_to")))
+    spans = totals.withColumn("_w", F.explode(ways)).select("line", "total", "_w.*")
+    p = lines.clip(spans, segs, ["line", "k"]).select("line", "k", "points")
+    at = lambda i: F.get("points", i)
+    steps = F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.sqrt(F.pow(at(i)["x"] - at(i - 1)["x"], F.lit(2)) + F.pow(at(i)["y"] - at(i - 1)["y"], F.lit(2))))
+    first, last = at(F.lit(0)), at(F.size("points") - 1)
+    five = lambda c, name: F.round(c, 5).alias(name)
+    return p.select("line", "k", F.size("points").alias("n"), five(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v), "len"), five(first["x"], "x_first"), five(first["y"], "y_first"), five(last["x"], "x_last"), five(last["y"], "y_last"))
+
+
 @query()
 def route_alternatives(spark, sf) -> DataFrame:
     n, e = _network(spark, sf)
