@@ -127,7 +127,7 @@ def _snapped(questions: DataFrame, segs: DataFrame) -> DataFrame:
     """Questions whose two ends (x_a, y_a, x_b, y_b) lie within reach of the network, with the places there."""
     for end in "ab":
         asked = questions.select(F.col("id").alias("point"), F.col(f"x_{end}").alias("x"), F.col(f"y_{end}").alias("y"))
-        place = lines.snap(asked, segs, SNAP_REACH, "edge").select(F.col("point").alias("id"), F.col("edge").cast("int").alias(f"edge_{end}"), F.col("s").alias(f"s_{end}"), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
+        place = lines.snap(asked, segs, SNAP_REACH, "edge", place=True).select(F.col("point").alias("id"), F.col("edge").cast("int").alias(f"edge_{end}"), F.col("s").alias(f"s_{end}"), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
         questions = questions.drop(f"x_{end}", f"y_{end}").join(place, "id")
     return questions
 

@@ -48,8 +48,10 @@ def on_segment(px: Column, py: Column) -> tuple[Column, Column]:
     return t, ex * ex + ey * ey
 
 
-def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line") -> DataFrame:
-    """(point, line, seg, s, distance, x, y): the nearest place within ``reach``; equal: lowest line, then segment.
+def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line", place: bool = False) -> DataFrame:
+    """(point, line, seg, s, distance): the nearest segment within ``reach``; equal: lowest line, then segment.
+
+    With ``place`` also x and y, where on the segment that is.
 
     Segments go to the square buckets (as wide as the reach) that their box, grown by the
     reach, meets; a point looks in its own bucket, so this is an equi-join.
@@ -61,7 +63,7 @@ def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line") ->
     t, square = on_segment(F.col("px"), F.col("py"))
     near = placed.join(spread, ["bx", "by"]).withColumn("t", t).withColumn("square", square).where(F.col("square") <= reach * reach)
     best = near.groupBy("point").agg(F.min(F.struct("square", key, "seg", (F.col("arc0") + F.col("t") * F.col("len")).alias("s"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))).alias("b"))
-    return best.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"), "b.x", "b.y")
+    return best.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"), *(["b.x", "b.y"] if place else []))
 
 
 def clip(spans: DataFrame, segs: DataFrame, keys: list[str], key: str = "line") -> DataFrame:
