@@ -155,6 +155,23 @@ def test_trie_links_of_one_large_class(lanes):
     assert (label == want).all()
 
 
+@pytest.mark.parametrize("rows", [1 << 18, 20])
+def test_wide_links_without_an_equal_band(spark, monkeypatch, rows):
+    """Pairs within the budget that part in every band are linked, in one block and between blocks."""
+    monkeypatch.setattr(op2_simhash, "BLOCK_ROWS", (1, rows), raising=False)
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2**63, (120, 8), dtype=np.uint64)
+    apart = (2, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 2, 2, 2, 2, 2, 2, 2, 2, 2)  # 82 bits, some in each band
+    assert sum(apart) == 82
+    for i in range(0, 100, 2):  # even and odd rows are copies, from i = 60 one bit too far
+        prints[i + 1] = prints[i]
+        for band, n in enumerate(apart):
+            for bit in range(n + (i >= 60 and band == 0)):
+                prints[i + 1, band // 4] ^= np.uint64(1) << np.uint64(16 * (band % 4) + bit)
+    nodes = spark.createDataFrame([(i, bytearray(p.astype(">u8").tobytes())) for i, p in enumerate(prints)], "node long, fp binary")
+    assert sorted((r.node, r.root) for r in op2_simhash.components(op2_simhash.wide_links(nodes, 82, 8)).collect()) == [(i + 1, i) for i in range(0, 60, 2)]
+
+
 def test_licenses(spark, docs, empty):
     assert op3_license.scan(empty).count() == 0
     mit = op3_license.LICENSES["MIT"][1]

@@ -15,7 +15,8 @@ links, never all pairs.  Components are found by alternating large-star and smal
 steps over those links, each written to the shared folder.
 
 ``survivors`` is the same join over wider fingerprints, for near copies by five-word shingles:
-512 bits, 32 bands of 16, and a budget of 82.
+512 bits, 32 bands of 16, and a budget of 82.  So many bits may touch every band, so pairs of
+blocks of fingerprints are compared as well (``rest_links``): no pair within the budget is lost.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other;
 repeated rows are copies; a null id is a row like others and names no component (a
@@ -50,6 +51,8 @@ LEADERS = 256
 SPLIT = 50_000
 #: Node pairs that one step of the traversal holds; more are taken in two halves.
 FRONTIER = 1 << 20
+#: All pairs: blocks there should be, rows a block has at least and at most, and rows that are compared with rows at once.
+BLOCKS, BLOCK_ROWS, TILE = 8, (4096, 1 << 18), (1024, 4096)
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -234,11 +237,70 @@ def links(prints: DataFrame, split: int = SPLIT) -> DataFrame:
 
 def wide_links(nodes: DataFrame, budget: int, wide: int) -> DataFrame:
     """(a, b): links between the nodes (node, fp as 8 * ``wide`` bytes) that connect every pair
-    whose fingerprints have an equal band of 16 bits and differ in ``budget`` bits at most."""
+    whose fingerprints differ in ``budget`` bits at most: those with an equal band by the trie,
+    and, as no equal band need exist above a budget of 4 * ``wide`` - 1, the rest by all pairs."""
+    found = band_links(nodes, budget, wide)
+    return found if budget < 4 * wide else found.unionByName(rest_links(nodes, budget, nodes.count())).distinct()
+
+
+def band_links(nodes: DataFrame, budget: int, wide: int) -> DataFrame:
+    """(a, b): links that connect every pair with an equal band of 16 bits and ``budget`` differing bits at most."""
     bands = F.transform(F.sequence(F.lit(1), F.lit(8 * wide - 1), F.lit(2)), lambda i: F.conv(F.hex(F.substring("fp", i, F.lit(2))), 16, 10).cast("int"))
     return _solved(nodes.select("node", "fp", F.posexplode(bands).alias("band", "value")), ["band", "value"], budget)
 
 
+def rest_links(nodes: DataFrame, budget: int, n: int) -> DataFrame:
+    """(a, b): links that connect every pair of the ``n`` nodes within ``budget``, by comparing all pairs of blocks.
+
+    Every node goes to the pairs of its block with each block; a pair of blocks is a task and
+    emits a spanning forest.  Work grows with the square of ``n`` (a pair costs a few
+    nanoseconds), the shuffle with ``n`` times the number of blocks.
+    """
+    block = min(max(-(-n // BLOCKS), BLOCK_ROWS[0]), BLOCK_ROWS[1])
+    count = max(1, -(-n // block))
+    own = nodes.select("node", "fp", F.pmod(F.xxhash64("node"), F.lit(count)).alias("block"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")))
+    paired = other.select("node", "fp", "block", (F.least("block", "other") * count + F.greatest("block", "other")).alias("pair"))
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, prints = rows.column("node").to_numpy(), np.frombuffer(b"".join(rows.column("fp").to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
+        first, second = divmod(key[0].as_py(), count)
+        blocks = rows.column("block").to_numpy()
+        left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+        member, root = block_links(prints, left, right, budget)
+        return pa.table({"a": pa.array(ids[member], pa.int64()), "b": pa.array(ids[root], pa.int64())})
+
+    return paired.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def block_links(prints: np.ndarray, left: np.ndarray, right: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, representative) indices: a spanning forest of the links from ``left`` to ``right`` (the same: inside it)."""
+    lanes = prints.shape[1]
+    # So many lanes that unrelated fingerprints are beyond the budget; their bits as +1 and -1 make distances one product.
+    head = next((k for k in range(1, lanes) if 32 * k - 20 * k ** 0.5 >= budget), lanes)
+    label, one = np.arange(len(prints)), len(left) == len(right) and (left == right).all()
+
+    def signs(rows: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(prints[rows, :head]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+    for start in range(0, len(right), TILE[1]):
+        cols = right[start:start + TILE[1]]
+        across = signs(cols).T
+        for top in range(0, min(len(left), start + len(cols)) if one else len(left), TILE[0]):
+            rows = left[top:top + TILE[0]]
+            close = np.flatnonzero(signs(rows) @ across >= 64 * head - 2 * budget)
+            for k in range(0, len(close), TILE[1]):
+                i, j = np.divmod(close[k:k + TILE[1]], len(cols))
+                i, j = rows[i], cols[j]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                near = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= budget
+                _union(label, i[near], j[near])
+    member = np.flatnonzero(label != np.arange(len(prints)))
+    return member, label[member]
+
+
 def _solved(keyed: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """(a, b): the links inside each group of rows (node, fp as big-endian bytes, keys)."""
     grouped = keyed.select("node", "fp", *keys).repartition(*keys).sortWithinPartitions(*keys)
@@ -318,9 +380,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def survivors(docs: DataFrame, k: int = STAGE_SHINGLE, wide: int = STAGE_WIDE, budget: int = STAGE_BUDGET) -> DataFrame:
     """One document of each group of near copies (the least id; of equal ids one row), all columns.
 
-    Near copies: fingerprints of 64 * ``wide`` bits over the distinct k-word shingles share an
-    equal band of 16 bits and differ in ``budget`` bits at most.  Rows are known by the digest
-    of id and text, and the table is read again at the end: it is neither written nor, while
+    Near copies: fingerprints of 64 * ``wide`` bits over the distinct k-word shingles differ in
+    ``budget`` bits at most.  Rows are known by the digest of id and text, and the table is read again at the end: it is neither written nor, while
     the rows to drop are few enough to broadcast (``BROADCAST_ROWS``, counted), shuffled.
 
     Null ids come last; null and blank texts are copies of each other; of rows with equal id
