@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -335,6 +337,27 @@ def test_quality_edges(spark, docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
 
+def test_quality_memory_is_that_of_a_slice(spark):
+    """What a worker holds beside its batch does not grow with the batch."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(3000)]
+    batch = pa.record_batch({"text": [" ".join(rng.choice(words, 600)) for _ in range(1500)] + ["ab cd " * 20000] * 3})
+
+    class Rows:  # hands out what would run in a worker
+        schema = spark.createDataFrame([("",)], "text string").schema
+
+        def mapInArrow(self, run, fields):
+            return run
+
+    tracemalloc.start()
+    try:
+        kept = sum(b.num_rows for b in op6_quality.keep_documents(Rows())(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kept == 1500 and peak < 60 << 20
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, speaker string"
     turns = spark.createDataFrame([(1, 0, "system", "s", "x"), (1, 1, "ann", "hi", "x"), (1, 2, "bob", None, "x"), (1, 2000, "ann", "bye", "x"), (None, None, None, "q", "x"), (1, 1, "ann", "hi", "x")], schema)
