@@ -54,16 +54,22 @@ def snap(points: DataFrame, segs: DataFrame, reach: float, key: str = "line", pl
     With ``place`` also x and y, where on the segment that is.
 
     Segments go to the square buckets (as wide as the reach) that their box, grown by the
-    reach, meets; a point looks in its own bucket, so this is an equi-join.
+    reach, meets; a point looks in its own bucket, so this is an equi-join.  Equal segments
+    (the lowest stands for them) and equal places meet once.  Neither side is broadcast: its
+    size before the buckets says little of that after them.
     """
     low = lambda a, b: F.floor((F.least(a, b) - reach) / reach)
     high = lambda a, b: F.floor((F.greatest(a, b) + reach) / reach)
-    spread = segs.withColumn("bx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("by", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
-    placed = points.select("point", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("bx", F.floor(F.col("px") / reach)).withColumn("by", F.floor(F.col("py") / reach))
+    ends = ["x1", "y1", "x2", "y2"]
+    apart = segs.groupBy(*ends).agg(F.min(F.struct(key, "seg", "arc0", "len")).alias("_s")).select(*ends, "_s.*")
+    spread = apart.withColumn("bx", F.explode(F.sequence(low("x1", "x2"), high("x1", "x2")))).withColumn("by", F.explode(F.sequence(low("y1", "y2"), high("y1", "y2"))))
+    named = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"))
+    placed = named.select("px", "py").distinct().withColumn("bx", F.floor(F.col("px") / reach)).withColumn("by", F.floor(F.col("py") / reach))
     t, square = on_segment(F.col("px"), F.col("py"))
-    near = placed.join(spread, ["bx", "by"]).withColumn("t", t).withColumn("square", square).where(F.col("square") <= reach * reach)
-    best = near.groupBy("point").agg(F.min(F.struct("square", key, "seg", (F.col("arc0") + F.col("t") * F.col("len")).alias("s"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))).alias("b"))
-    return best.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"), *(["b.x", "b.y"] if place else []))
+    near = placed.join(spread.hint("merge"), ["bx", "by"]).withColumn("t", t).withColumn("square", square).where(F.col("square") <= reach * reach)
+    best = near.groupBy("px", "py").agg(F.min(F.struct("square", key, "seg", (F.col("arc0") + F.col("t") * F.col("len")).alias("s"), (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))).alias("b"))
+    met = named.join(best.hint("merge"), ["px", "py"]).groupBy("point").agg(F.min("b").alias("b"))
+    return met.select("point", F.col(f"b.{key}").alias(key), "b.seg", "b.s", F.sqrt("b.square").alias("distance"), *(["b.x", "b.y"] if place else []))
 
 
 def clip(spans: DataFrame, segs: DataFrame, keys: list[str], key: str = "line") -> DataFrame:
