@@ -111,6 +111,21 @@ def near(points: DataFrame, others: DataFrame, radius: float, x: str = "x", y: s
     return placed.join(spread, ["_bx", "_by"]).withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).drop("_bx", "_by")
 
 
+def nearest(points: DataFrame, others: DataFrame, radius: float, k: int, point: str, other: str) -> DataFrame:
+    """(point, rank, other, distance): the ``k`` nearest within a radius; equal distances: lowest ``other``.
+
+    Both sides have an id, x and y.  Equal places meet once: points stand together, and of the others
+    at a place the ``k`` lowest can be among the nearest.  Groups of others are ranked by place,
+    then one by one; neither side is broadcast, as ids are many where places are few.
+    """
+    first = others.withColumn("_n", F.row_number().over(W.partitionBy("x", "y").orderBy(other))).where(F.col("_n") <= k)
+    groups = first.groupBy("x", "y").agg(F.array_sort(F.collect_list(other)).alias("_ids"))
+    met = near(points.select("x", "y").distinct(), groups.hint("merge"), radius)
+    ranked = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", other))).where(F.col("rank") <= k)
+    best = ranked(met.select("x", "y", "distance", F.explode("_ids").alias(other)), "x", "y").drop("rank")
+    return ranked(points.join(best.hint("merge"), ["x", "y"]), point).select(point, "rank", other, "distance")  # again, as points may repeat
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """Each left row with the right rows at or before (``low_*``) and after it (``high_*``) of its keys.
 
